@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: One word of a text whose letters A-Z are lower-cased: digits, a-z and all beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: What stands between two such words.
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,14 +21,9 @@ def lowered(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def spaced(text: Column) -> Column:
-    """The words of lowered(text), each followed by one space."""
-    return F.regexp_replace(F.concat(F.regexp_replace(lowered(text), "^" + GAP, ""), F.lit(" ")), GAP, " ")
-
-
 def words(text: Column) -> Column:
     """The array of words of a whole text (empty for a text without words)."""
-    return F.filter(F.split(F.regexp_replace(lowered(text), "^" + GAP, ""), GAP), lambda w: w != "")
+    return F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(0))
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:
