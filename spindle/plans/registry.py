@@ -1,9 +1,339 @@
-"""Registered search queries."""
+"""Registered search queries, each with its DuckDB SQL, over the whole sample tables."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import tempfile
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import distance as D
+from ..functions import text as T
+from ..operators import analysis, maintenance, rerank, scoring, typo
+from ..operators import index as ix
+from ..sources import catalog
+from ..sources.store import Store
+from ..streaming import sync
+from . import sql
+from .engine import SearchEngine, like_baseline
+
+AS_OF = 1_009_843_200  # 2002-01-01, after the last shipping date
+PART_QUERIES = [(1, "red widget"), (2, "small bolt 17"), (3, "hot the gear"), (4, "promo ring"), (5, "brand 2"), (6, "widget widget"), (7, "large economy plate"), (8, ""), (9, "zzz qqq"), (10, "Blue ROD Brand#12")]
+TYPO_QUERIES = [(1, "red wigdet"), (2, "smal blot"), (3, "hott gera"), (4, "brnd 17"), (5, "gizmoo ring"), (6, "red widget"), (7, "xq99 ring"), (8, "prmo ringg")]
+CORPUS_QUERIES = [(1, "the idiot"), (2, "apache license"), (3, "qui eaux"), (4, "les és de"), (5, "für die"), (6, "MIT 2.0")]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _asked(spark: SparkSession, queries: list[tuple[int, str]]) -> DataFrame:
+    return spark.createDataFrame(queries, "query_id long, q string").coalesce(1)
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> ix.Index:
+    return ix.build(catalog.parts(spark, sf_dir))
+
+
+def _tokens(frame: DataFrame, key: str, text: Column) -> DataFrame:
+    return frame.select(key, F.explode(analysis.tokens(text)).alias("t")).select(key, "t.*")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked search over the part catalogue with the shipped re-ranking."""
+    attributes = catalog.part_attributes(spark, sf_dir)
+    engine = SearchEngine(_parts(spark, sf_dir), reranker=rerank.shipped(attributes, attributes, AS_OF))
+    return engine.query(_asked(spark, PART_QUERIES), 20)
+
+
+def tokenize_documents(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.surfaces(F.col("text"))).alias("pos", "surface"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "surface")
+
+
+def classify_tokens(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("lang", F.explode(T.surfaces(F.col("text"))).alias("s"))
+    return rows.groupBy("lang", T.classify(F.col("s")).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("s", 0.01).alias("about")).drop("about")
+
+
+def fold_terms(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select(F.explode(T.surfaces(F.col("text"))).alias("s")).distinct().where(F.col("s").rlike(r"[^\x00-\x7F]"))
+    return rows.select(F.lower("s").alias("lower"), T.fold_vietnamese(F.col("s")).alias("vi"), T.fold_latin(F.col("s")).alias("latin")).distinct()
+
+
+def stopword_share(spark, sf_dir):
+    rows = _tokens(_table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(F.col("is_stopword").cast("long")).alias("n_stopwords"))
+
+
+def code_variants_part(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.concat(F.lit("HS"), F.col("p_partkey"), F.lit("-kx")), "p_brand", F.concat("p_size", F.lit("mm"))).alias("code"))
+    rows = analysis.analyze(part, "code").select("p_partkey", F.explode("postings").alias("p")).where("p.field = 'code'")
+    return rows.select("p_partkey", F.col("p.pos").cast("long").alias("pos"), "p.term", "p.kind")
+
+
+def phrase_bigrams(spark, sf_dir):
+    rows = analysis.analyze(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select(F.explode(F.filter("postings", lambda p: p["field"] == "phrase")).alias("p"))
+    return rows.groupBy(F.col("p.term").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def analyze_queries(spark, sf_dir):
+    rows = scoring.query_terms(_asked(spark, CORPUS_QUERIES + [(11, "máy của gỗ"), (12, "the of"), (13, "là hs76 đ10mm")]))
+    return rows.select("query_id", F.col("pos").cast("long").alias("pos"), "term")
+
+
+def postings_part(spark, sf_dir):
+    return _parts(spark, sf_dir).postings.select("doc_id", "term", "zone", "kw", "tf")
+
+
+def postings_documents(spark, sf_dir):
+    """Postings of the whole corpus, summed up by term."""
+    index = ix.build(catalog.corpus(spark, sf_dir))
+    return index.postings.groupBy("zone", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"), F.max("kw").alias("kw"))
+
+
+def zone_lengths_part(spark, sf_dir):
+    return _parts(spark, sf_dir).doc_zones.select("doc_id", "zone", "len")
+
+
+def corpus_stats(spark, sf_dir):
+    return SearchEngine(ix.build(catalog.corpus(spark, sf_dir))).stats().select("zone", F.round("avg_len", 6).alias("avg_len"), "doc_count")
+
+
+def term_df(spark, sf_dir):
+    return _parts(spark, sf_dir).df_for_terms(scoring.query_terms(_asked(spark, PART_QUERIES)))
+
+
+def vocabulary_prefix(spark, sf_dir):
+    index = ix.build(catalog.corpus(spark, sf_dir))
+    return index.vocabulary(["a", "e", "t", "é"], 50).select("first", "term", "df", F.col("place").cast("int").alias("place"))
+
+
+def _query(queries, every_word=True, corpus=False, limit=20):
+    def run(spark, sf_dir):
+        index = ix.build(catalog.corpus(spark, sf_dir)) if corpus else _parts(spark, sf_dir)
+        return scoring.cut(scoring.score(index, scoring.query_terms(_asked(spark, queries)), every_word=every_word), limit)
+
+    return run
+
+
+def _reranked(make, limit=50):
+    """A search whose scores go through a re-ranker made of the parts' attributes."""
+
+    def run(spark, sf_dir):
+        attributes = catalog.part_attributes(spark, sf_dir)
+        engine = SearchEngine(_parts(spark, sf_dir), reranker=make(attributes))
+        return engine.query(_asked(spark, PART_QUERIES), limit)
+
+    return run
+
+
+def typo_corrections(spark, sf_dir):
+    found = typo.corrections(_parts(spark, sf_dir), scoring.query_terms(_asked(spark, TYPO_QUERIES)))
+    return found.select("query_id", F.col("pos").cast("long").alias("pos"), "word", "term", "distance", "applied")
+
+
+def did_you_mean(spark, sf_dir):
+    return SearchEngine(_parts(spark, sf_dir)).did_you_mean(_asked(spark, TYPO_QUERIES))
+
+
+def typo_search(spark, sf_dir):
+    return SearchEngine(_parts(spark, sf_dir)).query(_asked(spark, TYPO_QUERIES), 20)
+
+
+def edit_distances(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("a")).distinct()
+    pairs = part.crossJoin(F.broadcast(part.limit(64).withColumnRenamed("a", "b")))  # a few dozen words of part names
+    d = D.osa(F.col("a"), F.col("b"), 1)
+    return pairs.select("a", "b", d.alias("distance"), D.is_code_like(F.col("a")).alias("code_like"), D.is_plausible(F.col("a"), F.col("b")).alias("plausible"))
+
+
+def rest_search(spark, sf_dir):
+    attributes = catalog.part_attributes(spark, sf_dir).withColumn("url", F.concat(F.lit("/p/"), F.col("doc_id")))
+    shown = SearchEngine(_parts(spark, sf_dir)).rest_search(_asked(spark, TYPO_QUERIES), attributes, 99)
+    return shown.select("query_id", "q", "did_you_mean", "rank", "doc_id", "title", "url", "score")
+
+
+def site_search(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_retailprice")
+    return SearchEngine(_parts(spark, sf_dir)).site_search(_asked(spark, PART_QUERIES), rows)
+
+
+def catalog_docs(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    posts = part.select(
+        F.col("p_partkey").alias("doc_id"), F.when(F.col("p_size") % 5 == 0, "post").otherwise("product").alias("post_type"), F.col("p_name").alias("title"), F.concat(F.lit("<p>A "), "p_type", F.lit(" <b>part</b></p><script>x()</script>")).alias("content"),
+        F.lit(" see more").alias("excerpt"), F.when(F.col("p_size") % 3 == 0, "https://x.org/a").otherwise(F.col("p_brand")).alias("sku_v2"), F.concat(F.lit(" "), "p_brand").alias("sku"), F.array("p_type").alias("categories"),
+    )
+    return catalog.from_posts(posts).select("doc_id", F.explode("fields").alias("f")).select("doc_id", "f.zone", "f.text")
+
+
+def strip_pages(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(catalog.strip_tags(F.col("html"))).alias("text_md5"))
+
+
+def candidate_scan(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    posts = part.select(F.col("p_partkey").alias("doc_id"), F.when(F.col("p_size") > 40, "draft").otherwise("publish").alias("status"), F.when(F.col("p_size") % 2 == 0, "product").otherwise("note").alias("post_type"))
+    return catalog.candidates(posts, ("product", "post"), limit=100, offset=50).select("doc_id")
+
+
+def timestamps(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders")
+    created = F.when(F.col("o_orderkey") % 7 == 0, "0000-00-00 00:00:00").otherwise(F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"))
+    return catalog.timestamps(orders.select(F.col("o_orderkey").alias("doc_id"), created.alias("created_gmt")))
+
+
+def like_search(spark, sf_dir):
+    return like_baseline(catalog.part_attributes(spark, sf_dir), _asked(spark, PART_QUERIES)).select("query_id", "doc_id", "rank")
+
+
+def _halves(spark, sf_dir):
+    docs = catalog.parts(spark, sf_dir)
+    return ix.build(docs.where("doc_id % 3 <> 0")), docs.where("doc_id % 5 <> 0")
+
+
+def reconcile_orphans(spark, sf_dir):
+    return maintenance.orphans(*_halves(spark, sf_dir))
+
+
+def reconcile_missing(spark, sf_dir):
+    return maintenance.missing(*_halves(spark, sf_dir))
+
+
+def reconciled_postings(spark, sf_dir):
+    return maintenance.reconcile(*_halves(spark, sf_dir)).postings.select("doc_id", "term", "zone", "kw", "tf")
+
+
+def zone_status(spark, sf_dir):
+    index = ix.build(catalog.parts(spark, sf_dir).withColumn("fields", F.filter("fields", lambda f: f["zone"] != "attr")))
+    return maintenance.zone_status(index, catalog.parts(spark, sf_dir), catalog.parts(spark, sf_dir))
+
+
+def upsert_equals_rebuild(spark, sf_dir):
+    """Postings after a stale version of some documents is replaced and some are deleted."""
+    docs = catalog.parts(spark, sf_dir)
+    stale = docs.withColumn("fields", F.when(F.col("doc_id") % 4 == 0, F.slice("fields", 1, 1)).otherwise(F.col("fields")))
+    index = ix.build(stale).upsert(docs.where("doc_id % 4 = 0")).without(docs.where("doc_id % 9 = 0"))
+    return index.postings.select("doc_id", "term", "zone", "kw", "tf")
+
+
+def stream_sync_final(spark, sf_dir):
+    """Index after the change feed drained: every fifth user of the events is a changed part, every tenth part is gone."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sync-")
+    from uuid import uuid4
+
+    where = f"{base.rstrip('/')}/{uuid4().hex}"
+    docs = catalog.parts(spark, sf_dir)
+    store = Store(spark, f"{where}/index")
+    store.publish(ix.build(docs.withColumn("fields", F.slice("fields", 1, 1))))
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("doc_id"))
+    events.write.parquet(f"{where}/changes")
+    feed = spark.readStream.schema("doc_id long").option("maxFilesPerTrigger", 1).parquet(f"{where}/changes")
+    sync.start(feed, store, lambda: docs.where("doc_id % 10 <> 0"), f"{where}/progress", lambda: AS_OF).awaitTermination()
+    return store.load().postings.select("doc_id", "term", "zone", "kw", "tf")
+
+
+def analyzer_hash(spark, sf_dir):
+    return spark.createDataFrame([(analysis.AnalyzerConfig().hash(), analysis.AnalyzerConfig(bigrams=False).hash() != analysis.AnalyzerConfig().hash())], "hash string, changes boolean")
+
+
+_ATTRS = "attrs AS (SELECT p_partkey AS doc_id, p_name AS title, epoch(ts)::BIGINT AS ts FROM part LEFT JOIN (SELECT l_partkey AS p_partkey, min(l_shipdate) AS ts FROM lineitem GROUP BY 1) USING (p_partkey))"
+_PART_IDS, _DOC_IDS = "SELECT p_partkey AS doc_id FROM part", "SELECT doc_id FROM documents"
+
+
+def _searched(queries, every_word=True, corpus=False, limit=20) -> str:
+    return f"WITH {sql.index(sql.CORPUS, _DOC_IDS) if corpus else sql.index(sql.PARTS, _PART_IDS)}, {sql.queried(queries)}, {sql.scored(every_word)} {sql.cut('sc', limit)}"
+
+
+def _reranked_sql(passes: str, last: str, limit: int = 50) -> str:
+    return f"WITH {sql.index(sql.PARTS, _PART_IDS)}, {sql.queried(PART_QUERIES)}, {sql.scored()}, {_ATTRS}, {passes} {sql.cut(last, limit)}"
+
+
+def _of_parts(condition: str) -> str:
+    """Fields of the parts that meet a condition on doc_id."""
+    return f"SELECT * FROM ({sql.PARTS}) WHERE {condition}"
+
+
+def _postings_sql(fields: str) -> str:
+    return f"WITH {sql.index(fields, _PART_IDS)} SELECT doc_id, term, zone, kw, tf FROM idx"
+
+
+_Modes = ("light", "medium", "strong", "date")
+_SEARCHES = {
+    "bm25f_or": dict(queries=PART_QUERIES, every_word=False),
+    "bm25f_and": dict(queries=PART_QUERIES),
+    "search_batch": dict(queries=CORPUS_QUERIES, corpus=True),
+    "suggest_prefix": dict(queries=[(1, "br"), (2, "1"), (3, "17"), (4, "wid"), (5, "brand 17")], limit=10),
+    "repeat_word_query": dict(queries=[(1, "red"), (2, "red red"), (3, "red red ring ring")]),
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    plain = (
+        tokenize_documents, classify_tokens, fold_terms, stopword_share, code_variants_part, phrase_bigrams, analyze_queries, postings_part, postings_documents, zone_lengths_part, corpus_stats, term_df, vocabulary_prefix,
+        typo_corrections, did_you_mean, typo_search, edit_distances, rest_search, site_search, catalog_docs, strip_pages, candidate_scan, timestamps, like_search, reconcile_orphans, reconcile_missing, reconciled_postings,
+        zone_status, upsert_equals_rebuild, stream_sync_final, analyzer_hash,
+    )
+    out = {"search_flagship": flagship} | {f.__name__: f for f in plain} | {name: _query(**o) for name, o in _SEARCHES.items()}
+    out |= {f"recency_{m}": _reranked(lambda a, m=m: rerank.Recency(a, AS_OF, m)) for m in _Modes}
+    out["recency_off"] = _reranked(lambda a: rerank.Recency(a, AS_OF, "off"))
+    out["exact_title_tiers"] = _reranked(lambda a: rerank.ExactTitle(a))
+    out["rerank_chain"] = _reranked(lambda a: rerank.shipped(a, a, AS_OF), 600)
+    return out
+
+
+def oracle_sql() -> dict[str, str]:
+    docs = lambda columns: f"WITH {sql.tokens('t', 'documents', 'text', columns)}"
+    parts = f"WITH {sql.index(sql.PARTS, _PART_IDS)}"
+    typos = f"{parts}, {sql.queried(TYPO_QUERIES)}, {sql.typos()}"
+    changed = "SELECT user_id AS doc_id FROM events"
+    out = {
+        "tokenize_documents": f"{docs('doc_id')} SELECT doc_id, pos::BIGINT AS pos, s AS surface FROM t0",
+        "classify_tokens": f"{docs('doc_id, lang')} SELECT lang, class, count(*) AS n FROM t GROUP BY ALL",
+        "fold_terms": rf"{docs('doc_id')} SELECT DISTINCT lower, vi, latin FROM t WHERE regexp_matches(s, '[^\x00-\x7F]')",
+        "stopword_share": f"{docs('doc_id')} SELECT doc_id, count(*) AS n_tokens, sum(stop::INTEGER)::BIGINT AS n_stopwords FROM t GROUP BY ALL",
+        "code_variants_part": f"""WITH c AS (SELECT p_partkey, 'HS' || p_partkey || '-kx ' || p_brand || ' ' || p_size || 'mm' AS code FROM part), {sql.tokens('t', 'c', 'code', 'p_partkey')}, {sql.postings('p', 't', 'p_partkey', 'index')}
+          SELECT p_partkey, pos::BIGINT AS pos, term, kind FROM p WHERE field = 'code'""",
+        "phrase_bigrams": f"{docs('doc_id')}, {sql.postings('p', 't', 'doc_id', 'query')} SELECT term, count(*) AS n FROM p WHERE field = 'phrase' GROUP BY ALL",
+        "analyze_queries": f"WITH {sql.queried(CORPUS_QUERIES + [(11, 'máy của gỗ'), (12, 'the of'), (13, 'là hs76 đ10mm')])} SELECT query_id, pos::BIGINT AS pos, term FROM qp",
+        "postings_part": _postings_sql(sql.PARTS),
+        "postings_documents": f"WITH {sql.index(sql.CORPUS, _DOC_IDS)} SELECT zone, term, count(*) AS df, sum(tf)::BIGINT AS tf, max(kw) AS kw FROM idx GROUP BY ALL",
+        "zone_lengths_part": f"{parts} SELECT doc_id, zone, len FROM zl",
+        "corpus_stats": f"WITH {sql.index(sql.CORPUS, _DOC_IDS)} SELECT zone, round(avg_len, 6) AS avg_len, n AS doc_count FROM az, nd",
+        "term_df": f"{parts}, {sql.queried(PART_QUERIES)} SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT DISTINCT term FROM qp) LEFT JOIN idx USING (term) GROUP BY term",
+        "vocabulary_prefix": f"""WITH {sql.index(sql.CORPUS, _DOC_IDS)} SELECT left(term, 1) AS first, term, df, (row_number() OVER (PARTITION BY left(term, 1) ORDER BY df DESC, term))::INTEGER AS place
+          FROM (SELECT term, count(DISTINCT doc_id) AS df FROM idx GROUP BY term) WHERE df >= 2 AND left(term, 1) IN ('a', 'e', 't', 'é') QUALIFY place <= 50""",
+        "typo_corrections": f"{typos} SELECT query_id, pos::BIGINT AS pos, word, term, distance, applied FROM fix",
+        "did_you_mean": f"{typos} SELECT query_id, did_you_mean FROM said",
+        "typo_search": f"{typos}, {sql.scored(terms='qx')} {sql.cut('sc', 20)}",
+        "edit_distances": """WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS a FROM part) SELECT w.a, v.a AS b, least(damerau_levenshtein(w.a, v.a), 2)::INTEGER AS distance,
+          regexp_matches(w.a, '[0-9]') OR NOT regexp_matches(w.a, '[aeiouy]') AS code_like, abs(length(w.a) - length(v.a)) <= 1 AS plausible FROM w, w v""",
+        "rest_search": f"{typos}, {sql.scored(terms='qx')} SELECT query_id, q, did_you_mean, rank::INTEGER AS rank, doc_id, p_name AS title, '/p/' || doc_id AS url, round(score, 4) AS score FROM qs JOIN said USING (query_id) LEFT JOIN (SELECT * FROM sc WHERE rank <= 50) USING (query_id) LEFT JOIN part ON p_partkey = doc_id",
+        "site_search": f"{parts}, {sql.queried(PART_QUERIES)}, {sql.scored()} SELECT query_id, doc_id, rank::INTEGER AS rank, p_retailprice FROM sc JOIN part ON p_partkey = doc_id WHERE rank <= 500",
+        "catalog_docs": """SELECT doc_id, zone, text FROM (
+            SELECT p_partkey AS doc_id, 'title' AS zone, p_name AS text FROM part UNION ALL SELECT p_partkey, 'content', 'A ' || p_type || ' part  see more' FROM part
+            UNION ALL SELECT p_partkey, 'sku', p_brand FROM part WHERE p_size % 5 <> 0 UNION ALL SELECT p_partkey, 'attr', p_type FROM part WHERE p_size % 5 <> 0) WHERE text <> ''""",
+        "strip_pages": """SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>|<style\\b[^>]*>.*?</style>', '', 'g'), '(?s)<!--.*?-->|<[^>]*>', '', 'g'))) AS text_md5 FROM pages""",
+        "candidate_scan": "SELECT p_partkey AS doc_id FROM part WHERE p_size <= 40 AND p_size % 2 = 0 ORDER BY 1 LIMIT 100 OFFSET 50",
+        "timestamps": "SELECT o_orderkey AS doc_id, epoch(o_orderdate::TIMESTAMP)::BIGINT AS ts FROM orders WHERE o_orderkey % 7 <> 0 AND epoch(o_orderdate::TIMESTAMP) > 0",
+        "like_search": f"""WITH {_ATTRS}, qs AS ({sql.values(PART_QUERIES)}), w AS (SELECT query_id, list_filter(string_split(lower(q), ' '), lambda x: x <> '') AS ws FROM qs)
+          SELECT query_id, doc_id, (row_number() OVER (PARTITION BY query_id ORDER BY ts DESC NULLS LAST, doc_id))::INTEGER AS rank FROM attrs, w
+          WHERE len(ws) > 0 AND len(list_filter(ws, lambda x: NOT contains(lower(title), x))) = 0 QUALIFY rank <= 500""",
+        "reconcile_orphans": "SELECT p_partkey AS doc_id FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 5 = 0",
+        "reconcile_missing": "SELECT p_partkey AS doc_id FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 5 <> 0",
+        "reconciled_postings": _postings_sql(_of_parts("doc_id % 5 <> 0")),
+        "zone_status": f"{parts} SELECT doc_id, zone, true AS in_source, zone <> 'attr' AND (zone <> 'code' OR bool_or(src_code)) AS in_index FROM (SELECT doc_id, zone, true AS src_code FROM zl) GROUP BY doc_id, zone",
+        "upsert_equals_rebuild": _postings_sql(_of_parts("doc_id % 9 <> 0")),
+        "stream_sync_final": _postings_sql(f"SELECT * FROM ({sql.PARTS}) WHERE CASE WHEN doc_id IN ({changed}) THEN doc_id % 10 <> 0 ELSE src = 'title' END"),
+        "analyzer_hash": """SELECT substr(sha256('{"packs":["code@10#code-2:minPrefix=2","vi@20#vi-1:fold-1:sw50","en@30#en-1:stem=0","generic@90#generic-1:fold-1"],"tokenizer":"tok-1","folder":"fold-1","options":{"bigrams":true}}'), 1, 16) AS hash, true AS changes""",
+    }
+    out |= {name: _searched(**o) for name, o in _SEARCHES.items()}
+    out |= {f"recency_{m}": _reranked_sql(sql.recency("sc", "rc", m, AS_OF), "rc") for m in _Modes}
+    out["recency_off"] = _reranked_sql("x AS (SELECT 1)", "sc")
+    out["exact_title_tiers"] = _reranked_sql(sql.exact("sc", "ex"), "ex")
+    chained = f"{sql.recency('sc', 'rc', 'medium', AS_OF)}, {sql.exact('rc', 'ex')}"
+    out["rerank_chain"] = _reranked_sql(chained, "ex", 600)
+    out["search_flagship"] = _reranked_sql(chained, "ex", 20)
+    return out
