@@ -128,6 +128,12 @@ def analyze(frame: DataFrame, text: str, mode: str = "index", config: AnalyzerCo
     return frame.withColumn("tokens", tokens(F.col(text))).withColumn("postings", postings(F.col("tokens"), mode, config or AnalyzerConfig()))
 
 
+def exploded(frame: DataFrame, array: str, *keep: str) -> DataFrame:
+    """Columns of keep and one row `p` for each element. An outer explode: for a plain one Spark infers a filter on the array's
+    size and moves it below the columns that make the array, where every token would be worked out once for each other."""
+    return frame.select(*keep, F.explode_outer(array).alias("p")).where(F.col("p").isNotNull())
+
+
 def canonical(tokens_: Column) -> Column:
     """One term for each position: the first fold, else the lower-cased token; stopwords dropped unless all are."""
     content = F.exists(tokens_, lambda t: ~t["is_stopword"])

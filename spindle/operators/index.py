@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .analysis import AnalyzerConfig, analyze
+from .analysis import AnalyzerConfig, analyze, exploded
 from .config import EngineConfig
 
 
@@ -76,7 +76,7 @@ def analyzed_fields(docs: DataFrame, config: EngineConfig | None = None, analyze
     """
     config = config or EngineConfig()
     fields = docs.select("doc_id", F.posexplode("fields").alias("field_idx", "f")).select("doc_id", "field_idx", F.col("f.zone").alias("src"), F.col("f.text").alias("text"))
-    rows = analyze(fields, "text", "index", analyzer).select("doc_id", "field_idx", "src", F.explode("postings").alias("p"))
+    rows = exploded(analyze(fields, "text", "index", analyzer), "postings", "doc_id", "field_idx", "src")
     zone = F.when(F.col("p.field") == "text", F.col("src")).otherwise(F.col("p.field"))
     return rows.select("doc_id", "field_idx", F.col("p.pos").alias("pos"), zone.alias("zone"), F.col("p.term").alias("term"), config.kind_weight(F.col("p.kind")).alias("kw"))
 
@@ -87,9 +87,7 @@ def build(docs: DataFrame, config: EngineConfig | None = None, analyzer: Analyze
     The raw texts are dealt by doc_id once; every aggregate below holds doc_id in its keys and needs no shuffle more.
     """
     dealt = docs.select("doc_id", "fields").repartition("doc_id")
-    at = F.struct("field_idx", "pos")
     each = analyzed_fields(dealt, config, analyzer).groupBy("doc_id", "zone", "term", "field_idx", "pos").agg(F.max("kw").alias("kw"))
     terms = each.groupBy("doc_id", "zone", "term").agg(F.max("kw").alias("kw"), F.count(F.lit(1)).cast("int").alias("tf"))
     lengths = each.groupBy("doc_id", "zone", "field_idx", "pos").agg(F.lit(1)).groupBy("doc_id", "zone").agg(F.count(F.lit(1)).cast("int").alias("len"))
-    del at
     return Index(terms.join(lengths, ["doc_id", "zone"]).select("doc_id", "term", "zone", "kw", "tf", "len"), lengths, docs.select("doc_id").distinct())

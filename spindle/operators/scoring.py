@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .analysis import AnalyzerConfig, analyze
+from .analysis import AnalyzerConfig, analyze, exploded
 from .config import EngineConfig
 from .index import Index
 
@@ -20,7 +20,7 @@ def broadcast_if_few(frame: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def query_terms(queries: DataFrame, analyzer: AnalyzerConfig | None = None) -> DataFrame:
     """query_id, pos, ord, term of queries (query_id, q). The field is dropped: a term matches in any zone."""
-    rows = analyze(queries, "q", "query", analyzer).select("query_id", F.explode("postings").alias("p"))
+    rows = exploded(analyze(queries, "q", "query", analyzer), "postings", "query_id")
     return rows.select("query_id", F.col("p.pos").alias("pos"), F.col("p.ord").alias("ord"), F.col("p.term").alias("term")).groupBy("query_id", "pos", "term").agg(F.min("ord").alias("ord"))
 
 

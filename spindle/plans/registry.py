@@ -37,7 +37,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> ix.Index:
 
 
 def _tokens(frame: DataFrame, key: str, text: Column) -> DataFrame:
-    return frame.select(key, F.explode(analysis.tokens(text)).alias("t")).select(key, "t.*")
+    return analysis.exploded(frame.select(key, analysis.tokens(text).alias("tokens")), "tokens", key).select(key, "p.*")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def tokenize_documents(spark, sf_dir):
 
 def classify_tokens(spark, sf_dir):
     rows = _table(spark, sf_dir, "documents").select("lang", F.explode(T.surfaces(F.col("text"))).alias("s"))
-    return rows.groupBy("lang", T.classify(F.col("s")).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("s", 0.01).alias("about")).drop("about")
+    return rows.groupBy("lang", T.classify(F.col("s")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def fold_terms(spark, sf_dir):
@@ -69,12 +69,12 @@ def stopword_share(spark, sf_dir):
 
 def code_variants_part(spark, sf_dir):
     part = _table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.concat(F.lit("HS"), F.col("p_partkey"), F.lit("-kx")), "p_brand", F.concat("p_size", F.lit("mm"))).alias("code"))
-    rows = analysis.analyze(part, "code").select("p_partkey", F.explode("postings").alias("p")).where("p.field = 'code'")
+    rows = analysis.exploded(analysis.analyze(part, "code"), "postings", "p_partkey").where("p.field = 'code'")
     return rows.select("p_partkey", F.col("p.pos").cast("long").alias("pos"), "p.term", "p.kind")
 
 
 def phrase_bigrams(spark, sf_dir):
-    rows = analysis.analyze(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select(F.explode(F.filter("postings", lambda p: p["field"] == "phrase")).alias("p"))
+    rows = analysis.exploded(analysis.analyze(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text"), "postings").where("p.field = 'phrase'")
     return rows.groupBy(F.col("p.term").alias("term")).agg(F.count(F.lit(1)).alias("n"))
 
 
