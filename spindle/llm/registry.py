@@ -71,4 +71,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_sharding": sql.sharding(), "op10_decontamination": sql.decontamination()}
+    return {"op2_licenses": sql.licenses(), "op5_warc": sql.warc(), "op9_sharding": sql.sharding(), "op10_decontamination": sql.decontamination()}

@@ -55,3 +55,71 @@ def decontamination(n: int = 10) -> str:
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM docs LEFT JOIN places USING (row) LEFT JOIN named USING (row)"""
+
+
+def licenses() -> str:
+    from .license_rules import BASE, rules
+
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    listed = [(r.priority, r.weight, r.label, False, r.regex) for r in rules()]
+    listed += [(len(listed) + i, 0.8, label, True, "".join(f" {w} " for w in phrase.split())) for i, (phrase, label) in enumerate(BASE)]
+    rows = ", ".join(f"({p}, {w}::DOUBLE, {quoted(label)}, {str(b).lower()}, {quoted(x)})" for p, w, label, b, x in listed)
+    count = lambda s: f"((length({s}) - length(replace({s}, ' ', ''))) // 2)"
+    return f"""
+    WITH rules(priority, weight, label, base, regex) AS (VALUES {rows}),
+    docs AS (SELECT row_number() OVER () AS row, doc_id, {WORDS} AS w FROM documents),
+    padded AS (SELECT row, array_to_string(list_transform(w, lambda x: ' ' || x || ' '), '') AS s FROM docs),
+    hits AS (
+      SELECT row, priority, weight, label, base, regexp_extract_all(s, regex) AS m, string_split_regex(s, regex) AS between FROM padded, rules WHERE regexp_matches(s, regex)
+    ), places AS (
+      SELECT row, priority, weight, label, base, list_sum(list_transform(between[1:i], lambda x: {count('x')})) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: {count('x')})), 0) AS start, {count('m[i]')} AS size
+      FROM hits, unnest(range(1, len(m) + 1)) AS u(i)
+    ), found AS (SELECT *, start + size AS stop FROM places),
+    kept AS (
+      SELECT * FROM found d WHERE base OR NOT EXISTS (
+        SELECT 1 FROM found e WHERE e.row = d.row AND NOT e.base AND e.priority < d.priority AND ((d.start >= e.start AND d.stop <= e.stop) OR (e.start >= d.start AND e.stop <= d.stop)))
+    ), named AS (
+      SELECT row, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(weight) AS score FROM kept GROUP BY row
+    )
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+      coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+    FROM docs LEFT JOIN named USING (row)"""
+
+
+def warc() -> str:
+    """Records of pages; regular expressions and digests as in the operator."""
+    from .warc import _BREAKS, _DROPPED, _LINK, _TAG, _TITLE, ENTITIES
+
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    crlf = "chr(13) || chr(10)"
+
+    def decoded(x: str) -> str:
+        for name, sign in ENTITIES:
+            x = f"replace({x}, {quoted(name)}, {quoted(sign)})"
+        return x
+
+    def swap(x: str, pattern: str, to: str) -> str:
+        return f"regexp_replace({x}, {quoted(pattern)}, {to}, 'g')"
+
+    blank = "[ \\t\\r\\n]+"
+    text = swap(swap(swap(swap("body", _DROPPED, "' '"), blank, "' '"), _BREAKS, "chr(10)"), _TAG, "''")
+    text = swap(swap(swap(decoded(text), "[ \\t]+", "' '"), " ?\\n[ \\n]*", "chr(10)"), "^[ \\n]+|[ \\n]+$", "''")
+    title = f"trim({swap(decoded(f'regexp_extract(body, {quoted(_TITLE)}, 1)'), blank, quoted(' '))}, ' ')"
+    links = f"coalesce(array_to_string(list_transform(regexp_extract_all(body, {quoted(_LINK)}, 1), lambda x: 'outlink: ' || {decoded('x')} || ' A/@href' || {crlf}), ''), '')"
+    urn = lambda h: f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12) || '>'"
+    return f"""
+    WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS body FROM pages),
+    r AS (
+      SELECT *, md5('response' || chr(10) || coalesce(page_id::VARCHAR, '') || chr(10) || target_uri || chr(10) || md5(body)) AS h, 'sha256:' || sha256(body) AS source_digest,
+        'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(body) AS source_headers, 'text/html; charset=utf-8' AS source_type FROM p
+    ), n AS (SELECT *, {urn('h')} AS refers_to FROM r),
+    m AS (SELECT *, md5('metadata' || chr(10) || refers_to) AS hm, md5('conversion' || chr(10) || refers_to) AS hc FROM n),
+    rows AS (
+      SELECT *, 'metadata' AS record_type, {urn('hm')} AS record_id, {urn('hc')} AS concurrent_to, 'application/warc-fields' AS content_type,
+        'title: ' || {title} || {crlf} || 'source-content-type: ' || source_type || {crlf} || 'source-payload-digest: ' || source_digest || {crlf} || {links} AS block FROM m
+      UNION ALL
+      SELECT *, 'conversion', {urn('hc')}, {urn('hm')}, 'text/plain; charset=utf-8', {text} FROM m
+    )
+    SELECT page_id, record_type, record_id, refers_to, concurrent_to, target_uri, '2024-01-01T00:00:00Z' AS warc_date, content_type, strlen(block)::BIGINT AS content_length,
+      'sha256:' || sha256(block) AS block_digest, source_type, source_headers, source_digest, block FROM rows"""
