@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .analysis import AnalyzerConfig, analyze, exploded
 from .config import EngineConfig
+from .tables import checkpointed
 
 
 @dataclass
@@ -23,6 +24,10 @@ class Index:
     doc_zones: DataFrame
     index_docs: DataFrame
 
+    def checkpointed(self) -> "Index":
+        """The index with its tables written once, as a published one is; a query reads them several times."""
+        return Index(*(checkpointed(t) for t in (self.postings, self.doc_zones, self.index_docs)))
+
     def without(self, ids: DataFrame) -> "Index":
         """The index without the documents of ids (column doc_id)."""
         gone = ids.select("doc_id").distinct()

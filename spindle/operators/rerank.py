@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .analysis import AnalyzerConfig, canonical, tokens
 from .config import POOL, STRENGTHS
-from .scoring import broadcast_if_few
+from .scoring import TIES, broadcast_if_few
+from .tables import checkpointed
 
 
 class Reranker(Protocol):
@@ -54,13 +55,13 @@ class Recency:
         dated = dated.withColumn("inside", inside).withColumn("usable", F.max(F.col("inside") & F.col("ts").isNotNull()).over(query))
         if self.mode == "date":
             new = F.col("score")
-            order = [F.col("inside").desc(), F.when(F.col("inside") & F.col("usable"), F.coalesce("ts", F.lit(0))).desc_nulls_last(), F.when(~F.col("inside") | ~F.col("usable"), F.col("rank")), F.col("score").desc(), F.col("doc_id")]
+            order = [F.col("inside").desc(), F.when(F.col("inside") & F.col("usable"), F.coalesce("ts", F.lit(0))).desc_nulls_last(), F.when(~F.col("inside") | ~F.col("usable"), F.col("rank")), F.round("score", TIES).desc(), F.col("doc_id")]
         else:
             budget = F.max(F.when(F.col("inside"), F.col("score"))).over(query) * STRENGTHS[self.mode]
             age = F.greatest(F.lit(0), self.as_of - F.col("ts"))
             boost = budget * F.exp(-F.log(F.lit(2.0)) * age / (max(1, self.halflife_days) * 86_400))
             new = F.when(F.col("inside") & F.col("ts").isNotNull(), F.col("score") + boost).otherwise(F.col("score"))
-            order = [F.col("inside").desc(), F.when(F.col("inside"), F.col("new")).desc_nulls_last(), F.col("rank")]
+            order = [F.col("inside").desc(), F.when(F.col("inside"), F.round("new", TIES)).desc_nulls_last(), F.col("rank")]
         dated = dated.withColumn("new", new)
         return dated.withColumn("rank", F.row_number().over(query.orderBy(*order))).select("query_id", "doc_id", F.col("new").alias("score"), "rank")
 
@@ -77,7 +78,7 @@ class ExactTitle:
     pool: int = POOL
 
     def __call__(self, scores: DataFrame, queries: DataFrame) -> DataFrame:
-        asked = broadcast_if_few(queries.select("query_id", canonical(tokens(F.col("effective"))).alias("q")))
+        asked = broadcast_if_few(checkpointed(queries.select("query_id", canonical(tokens(F.col("effective"))).alias("q"))))
         named = self.titles.select("doc_id", F.when(F.col("title") != "", F.col("title")).alias("title"))
         rows = scores.join(named, "doc_id", "left").join(asked, "query_id", "left")
         rows = rows.withColumn("t", F.when(F.col("rank") <= self.pool, canonical(tokens(F.col("title")))))

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from .analysis import AnalyzerConfig, analyze, exploded
 from .config import EngineConfig
 from .index import Index
+from .tables import checkpointed
 
 #: Most query rows that are broadcast; a larger batch is joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Places to which scores are compared: sums differ in the last bits with the order of their terms.
+TIES = 9
 
 
 def broadcast_if_few(frame: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -19,9 +22,12 @@ def broadcast_if_few(frame: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def query_terms(queries: DataFrame, analyzer: AnalyzerConfig | None = None) -> DataFrame:
-    """query_id, pos, ord, term of queries (query_id, q). The field is dropped: a term matches in any zone."""
+    """query_id, pos, ord, term of queries (query_id, q). The field is dropped: a term matches in any zone.
+
+    Written once: the analyzer is a large expression, and a search reads its terms many times.
+    """
     rows = exploded(analyze(queries, "q", "query", analyzer), "postings", "query_id")
-    return rows.select("query_id", F.col("p.pos").alias("pos"), F.col("p.ord").alias("ord"), F.col("p.term").alias("term")).groupBy("query_id", "pos", "term").agg(F.min("ord").alias("ord"))
+    return checkpointed(rows.select("query_id", F.col("p.pos").alias("pos"), F.col("p.ord").alias("ord"), F.col("p.term").alias("term")).groupBy("query_id", "pos", "term").agg(F.min("ord").alias("ord")))
 
 
 def score(index: Index, terms: DataFrame, config: EngineConfig | None = None, every_word: bool = True) -> DataFrame:
@@ -33,9 +39,9 @@ def score(index: Index, terms: DataFrame, config: EngineConfig | None = None, ev
     config = config or EngineConfig()
     groups = terms.groupBy("query_id", "term").agg(F.collect_set("pos").alias("groups"))
     needed = terms.groupBy("query_id").agg(F.count_distinct("pos").alias("needed"))
-    asked = broadcast_if_few(groups.join(needed, "query_id"))
+    asked = broadcast_if_few(checkpointed(groups.join(needed, "query_id")))
     n = index.doc_count()
-    df = index.df_for_terms(terms).where(F.col("df") > 0)
+    df = checkpointed(index.df_for_terms(terms).where(F.col("df") > 0))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = index.avg_zone_lengths().withColumn("weight", config.zone_weight(F.col("zone")))
     hits = index.postings.join(asked, "term").join(broadcast_if_few(df.select("term", idf.alias("idf"))), "term").join(F.broadcast(weights), "zone")  # zones are few names
@@ -54,7 +60,7 @@ def score(index: Index, terms: DataFrame, config: EngineConfig | None = None, ev
 
 
 def ranked(scores: DataFrame) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
+    order = Window.partitionBy("query_id").orderBy(F.round("score", TIES).desc(), F.col("doc_id"))
     return scores.withColumn("rank", F.row_number().over(order))
 
 

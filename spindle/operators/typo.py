@@ -11,6 +11,7 @@ from ..functions import distance as D
 from .config import EngineConfig
 from .index import Index
 from .scoring import broadcast_if_few
+from .tables import checkpointed
 
 
 @dataclass
@@ -53,7 +54,7 @@ def expand(index: Index, queries: DataFrame, terms: DataFrame, config: EngineCon
     if not config.typo or not 0 < n <= config.typo_max_docs:
         none = terms.select("query_id", "pos", F.col("term").alias("word"), "term", F.lit(0).alias("distance"), F.lit(False).alias("applied")).limit(0)
         return Expanded(terms, queries.select("query_id", "q", F.lit(None).cast("string").alias("did_you_mean"), F.col("q").alias("effective")), none)
-    found = corrections(index, terms, config)
+    found = checkpointed(corrections(index, terms, config))  # a few rows, read three times
     added = terms.select("query_id", "pos", "term", "ord").unionByName(found.where("applied").select("query_id", "pos", "term", F.lit(1_000_001).alias("ord"))).dropDuplicates(["query_id", "pos", "term"])
     pairs = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "term", "applied"))).alias("pairs"))
     lower = F.lower("q")

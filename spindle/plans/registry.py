@@ -33,7 +33,8 @@ def _asked(spark: SparkSession, queries: list[tuple[int, str]]) -> DataFrame:
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> ix.Index:
-    return ix.build(catalog.parts(spark, sf_dir))
+    """The index of parts, written before it is searched, as a published one is."""
+    return ix.build(catalog.parts(spark, sf_dir)).checkpointed()
 
 
 def _tokens(frame: DataFrame, key: str, text: Column) -> DataFrame:
@@ -84,7 +85,7 @@ def analyze_queries(spark, sf_dir):
 
 
 def postings_part(spark, sf_dir):
-    return _parts(spark, sf_dir).postings.select("doc_id", "term", "zone", "kw", "tf")
+    return ix.build(catalog.parts(spark, sf_dir)).postings.select("doc_id", "term", "zone", "kw", "tf")
 
 
 def postings_documents(spark, sf_dir):
@@ -94,11 +95,11 @@ def postings_documents(spark, sf_dir):
 
 
 def zone_lengths_part(spark, sf_dir):
-    return _parts(spark, sf_dir).doc_zones.select("doc_id", "zone", "len")
+    return ix.build(catalog.parts(spark, sf_dir)).doc_zones.select("doc_id", "zone", "len")
 
 
 def corpus_stats(spark, sf_dir):
-    return SearchEngine(ix.build(catalog.corpus(spark, sf_dir))).stats().select("zone", F.round("avg_len", 6).alias("avg_len"), "doc_count")
+    return SearchEngine(ix.build(catalog.corpus(spark, sf_dir)).checkpointed()).stats().select("zone", F.round("avg_len", 6).alias("avg_len"), "doc_count")
 
 
 def term_df(spark, sf_dir):
@@ -112,7 +113,7 @@ def vocabulary_prefix(spark, sf_dir):
 
 def _query(queries, every_word=True, corpus=False, limit=20):
     def run(spark, sf_dir):
-        index = ix.build(catalog.corpus(spark, sf_dir)) if corpus else _parts(spark, sf_dir)
+        index = ix.build(catalog.corpus(spark, sf_dir)).checkpointed() if corpus else _parts(spark, sf_dir)
         return scoring.cut(scoring.score(index, scoring.query_terms(_asked(spark, queries)), every_word=every_word), limit)
 
     return run

@@ -84,7 +84,7 @@ def scored(every_word: bool = True, terms: str = "qp") -> str:
     ), met AS (SELECT query_id, doc_id, count(DISTINCT pos) AS met FROM wt JOIN {terms} USING (query_id, term) GROUP BY ALL),
     needed AS (SELECT query_id, count(DISTINCT pos) AS needed FROM {terms} GROUP BY ALL),
     sc AS (
-      SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+      SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (
         SELECT query_id, doc_id, sum(idf * wtf / (1.2 + wtf)) AS score FROM wt GROUP BY ALL
       ) JOIN met USING (query_id, doc_id) JOIN needed USING (query_id) WHERE {need} score > 0
     )"""
@@ -100,10 +100,10 @@ def recency(source: str, out: str, mode: str, as_of: int, days: int = 180) -> st
 
     dated = f"{out}0 AS (SELECT s.*, CASE WHEN ts > 0 THEN ts END AS ts, rank <= 500 AS inside, max(CASE WHEN rank <= 500 THEN score END) OVER (PARTITION BY query_id) AS best, bool_or(rank <= 500 AND coalesce(ts, 0) > 0) OVER (PARTITION BY query_id) AS usable FROM {source} s LEFT JOIN attrs USING (doc_id))"
     if mode == "date":
-        order = "inside DESC, CASE WHEN inside AND usable THEN coalesce(ts, 0) END DESC NULLS LAST, CASE WHEN NOT (inside AND usable) THEN rank END, score DESC, doc_id"
+        order = "inside DESC, CASE WHEN inside AND usable THEN coalesce(ts, 0) END DESC NULLS LAST, CASE WHEN NOT (inside AND usable) THEN rank END, round(score, 9) DESC, doc_id"
         return f"{dated}, {out} AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS rank FROM {out}0)"
     lift = f"best * {STRENGTHS[mode]} * exp(-ln(2) * greatest(0, {as_of} - ts) / ({days} * 86400))"
-    return f"{dated}, {out}1 AS (SELECT * REPLACE (CASE WHEN inside AND ts IS NOT NULL THEN score + {lift} ELSE score END AS score) FROM {out}0), {out} AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY inside DESC, CASE WHEN inside THEN score END DESC NULLS LAST, rank) AS rank FROM {out}1)"
+    return f"{dated}, {out}1 AS (SELECT * REPLACE (CASE WHEN inside AND ts IS NOT NULL THEN score + {lift} ELSE score END AS score) FROM {out}0), {out} AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY inside DESC, CASE WHEN inside THEN round(score, 9) END DESC NULLS LAST, rank) AS rank FROM {out}1)"
 
 
 def canon(name: str, toks: str, keys: str) -> str:
