@@ -20,6 +20,8 @@ from . import bpe
 LEAF = 32
 #: How far beyond its end the choice of a pre-token can look: 're after an apostrophe, one character after blanks.
 LOOK = 2
+#: Edits of one document that are closer than this, in characters, share one stretch to encode.
+MERGE = 64
 Edit = tuple[int, int, str]
 
 #: What the registered query edits: mail addresses, long hex strings, long numbers and runs of one sign.
@@ -31,19 +33,32 @@ def redactions(text: str) -> list[Edit]:
     return [(m.start(), m.end(), m[0][0] if m.lastgroup == "run" or m["run"] else f"[{m.lastgroup}]") for m in _REDACT.finditer(text)]
 
 
+def merged(text: str, edits: list[Edit], gap: int = MERGE) -> list[Edit]:
+    """Edits in order and apart, those less than `gap` characters apart made one that keeps the text between them."""
+    out: list[list] = []
+    for start, stop, new in edits:
+        if out and start - out[-1][1] < gap:
+            out[-1][2] += [text[out[-1][1] : start], new]
+            out[-1][1] = stop
+        else:
+            out.append([start, stop, [new]])
+    return [(start, stop, "".join(parts)) for start, stop, parts in out]
+
+
 class Counted:
     """A text as a segment tree; `tokens` is its count, `encoded` how many pre-tokens were encoded so far."""
 
     def __init__(self, text: str, table: bpe.Bpe, leaf: int = LEAF):
-        self.table, self.encoded = table, 0
-        self.leaves = self._leaves(table.pretokens(text), leaf) or [[]]
-        self.size = 1
-        while self.size < len(self.leaves):
-            self.size *= 2
+        self.table = table
+        tokens = table.pretokens(text)
+        self.encoded = len(tokens)
+        self.leaves: list[list[str]] = [tokens[i : i + leaf] for i in range(0, len(tokens), leaf)] or [[]]
+        self.size = 1 << (len(self.leaves) - 1).bit_length()
         self.leaves += [[] for _ in range(self.size - len(self.leaves))]
         self.chars, self.counts = [0] * (2 * self.size), [0] * (2 * self.size)
         for i, held in enumerate(self.leaves):
-            self._sum(i)
+            if held:
+                self._sum(i)
         for i in range(self.size - 1, 0, -1):
             self._add(i)
 
@@ -53,17 +68,12 @@ class Counted:
 
     @property
     def text(self) -> str:
-        return "".join(t for held in self.leaves for t, _ in held)
-
-    def _leaves(self, tokens: list[str], leaf: int) -> list[list[tuple[str, int]]]:
-        self.encoded += len(tokens)
-        counted = [(t, len(self.table[t]) // 4) for t in tokens]
-        return [counted[i : i + leaf] for i in range(0, len(counted), leaf)]
+        return "".join(t for held in self.leaves for t in held)
 
     def _sum(self, leaf: int) -> None:
         held = self.leaves[leaf]
-        self.chars[self.size + leaf] = sum(len(t) for t, _ in held)
-        self.counts[self.size + leaf] = sum(n for _, n in held)
+        self.chars[self.size + leaf] = sum(map(len, held))
+        self.counts[self.size + leaf] = len(b"".join(map(self.table.__getitem__, held))) // 4
 
     def _add(self, i: int) -> None:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
@@ -96,22 +106,22 @@ class Counted:
         leaf, first = self._find(max(0, start - LOOK - 1))
         held = self.leaves[leaf]
         keep = 0
-        while keep < len(held) and first + len(held[keep][0]) + LOOK <= start:
-            first += len(held[keep][0])
+        while keep < len(held) and first + len(held[keep]) + LOOK <= start:
+            first += len(held[keep])
             keep += 1
-        old = list(held[keep:])
-        last, end, more = leaf, first + sum(len(t) for t, _ in old), LEAF
+        old = held[keep:]
+        last, end, more = leaf, first + sum(map(len, old)), LEAF
         while True:
             while last + 1 < self.size and end < stop + more:
                 last += 1
                 old += self.leaves[last]
                 end += self.chars[self.size + last]
             whole = last + 1 >= self.size
-            text = "".join(t for t, _ in old)
+            text = "".join(old)
             window = text[: start - first] + new + text[stop - first :]
             shift = len(new) - (stop - start)
             bounds, at = {}, first
-            for k, (t, _) in enumerate(old):
+            for k, t in enumerate(old):
                 if at >= stop:
                     bounds[at - first + shift] = k
                 at += len(t)
@@ -132,7 +142,7 @@ class Counted:
                 break
             more *= 4
         self.encoded += len(fresh)
-        self.leaves[leaf] = held[:keep] + [(t, len(self.table[t]) // 4) for t in fresh] + old[meet:]
+        self.leaves[leaf] = held[:keep] + fresh + old[meet:]
         self._mend(leaf)
         for i in range(leaf + 1, last + 1):
             self.leaves[i] = []
@@ -157,7 +167,7 @@ def count(docs: DataFrame, tokenizer_path: str, edits_of: Callable[[str], Iterab
                 tree = Counted(text, table)
                 before, pretokens = tree.tokens, tree.encoded
                 edits = list(edits_of(text))
-                for edit in reversed(edits):  # from the end, so that positions stay what they were
+                for edit in reversed(merged(text, edits)):  # from the end, so that positions stay what they were
                     tree.edit(*edit)
                 rows.append((len(text), pretokens, before, len(edits), tree.encoded - pretokens, tree.tokens))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(names)))], ["doc_id", *names])
