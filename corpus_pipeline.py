@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm import bpe, decontamination, packing, quality, simhash, toxicity
+from spindle.llm import bpe, decontamination, overlap, packing, quality, toxicity
 from spindle.llm.common import checkpointed, table
 
 
@@ -28,8 +28,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near duplicates (five-word shingles, Jaccard of 0.8 or more): that with the smallest doc_id."""
+    return overlap.one_of_each(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,13 +175,18 @@ def _grouped(docs: DataFrame, distance: int, blocks: int, width: int) -> DataFra
 
 
 def one_of_each(docs: DataFrame, distance: int = 4, blocks: int = 6, width: int = 4) -> DataFrame:
-    """The documents, with all their columns, of which one of each component stays: the one with the smallest doc_id.
+    """The documents, with all their columns, of which one of each component stays: the one with the smallest doc_id."""
+    return stay(docs, _grouped(docs, distance, blocks, width))
 
-    Of several rows with that doc_id the one whose text has the smallest MD5 stays, and of rows that repeat in id and
-    text any one. Rows without a doc_id stay only if their whole component has none.
+
+def stay(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """One document of each root; grouped has doc_id, text_md5 and root of every document.
+
+    Of several rows with the smallest doc_id the one whose text has the smallest MD5 stays, and of rows that repeat in id
+    and text any one. Rows without a doc_id stay only if their whole component has none.
     """
     name = lambda doc, md5: F.struct(F.coalesce(doc.cast("string"), F.lit("")).alias("a"), md5.alias("b"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")
-    best = _grouped(docs, distance, blocks, width).groupBy("root").agg(F.min(order).alias("m")).select(name(F.col("m.doc_id"), F.col("m.text_md5")).alias("_key"))
+    best = grouped.groupBy("root").agg(F.min(order).alias("m")).select(name(F.col("m.doc_id"), F.col("m.text_md5")).alias("_key"))
     named = docs.withColumn("_key", name(F.col("doc_id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
     return named.join(best, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
