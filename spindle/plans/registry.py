@@ -145,7 +145,7 @@ def typo_search(spark, sf_dir):
 
 def edit_distances(spark, sf_dir):
     part = _table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("a")).distinct()
-    pairs = part.crossJoin(F.broadcast(part.limit(64).withColumnRenamed("a", "b")))  # a few dozen words of part names
+    pairs = part.crossJoin(part.withColumnRenamed("a", "b"))  # every word with every word, as the SQL has it
     d = D.osa(F.col("a"), F.col("b"), 1)
     return pairs.select("a", "b", d.alias("distance"), D.is_code_like(F.col("a")).alias("code_like"), D.is_plausible(F.col("a"), F.col("b")).alias("plausible"))
 
