@@ -50,7 +50,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL can't express the classifiers; tests hold run() against a version worked out stage by stage without Spark.
+#: SQL can't express the classifiers. Tests hold decontamination against plain Python and one_copy against brute force
+#: (test_overlap.py), but the two filter stages only against their own operators, and packing against itself and the ids.
 ORACLE_SQL = None
 
 
