@@ -19,8 +19,25 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Vectors of a shard, of a leaf, and queries of a block.
-SHARD, LEAF, BLOCK = 16_384, 256, 1024
+#: Vectors of a shard, of a leaf, and queries of a block: a block and a tree are of like size, so their pairs ship no more of one.
+SHARD, LEAF, BLOCK = 16_384, 256, 8192
+#: Distances of equal unit vectors come out as up to 1e-8 apart; bounds are compared with this much to spare.
+SLACK = 1e-7
+
+
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row by a power of two that brings its largest component to between 1/2 and 1: exact, and squares stay in range."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, initial=0))[1][:, None])
+
+
+def _sums(products: np.ndarray) -> np.ndarray:
+    """The sum of each row, in an order that depends on its length alone: equal rows have equal sums wherever they stand."""
+    return np.add.reduce(np.ascontiguousarray(products), axis=1)
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    own = _scaled(vectors)
+    return own / np.sqrt(_sums(own * own))[:, None]
 
 
 def build(ids: np.ndarray, vectors: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
@@ -29,7 +46,7 @@ def build(ids: np.ndarray, vectors: np.ndarray, seed: int = 3) -> dict[str, np.n
     Node i has a vantage row, the radius that parts its rows, the ranges of distances on either side, and two children
     (-1: none); a leaf has a range of rows. Rows at equal distances, copies included, end in a leaf rather than a chain.
     """
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = _unit(vectors)
     rng = np.random.default_rng(seed)
     order = np.lexsort((ids,))
     nodes: list[list[float]] = []
@@ -60,11 +77,14 @@ def build(ids: np.ndarray, vectors: np.ndarray, seed: int = 3) -> dict[str, np.n
 
 
 def search(tree: dict[str, np.ndarray], queries: np.ndarray, query_ids: np.ndarray, k: int, factor: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its id and the ids and cosines of the k best rows found, its own id left out; ties to smaller ids."""
-    ids, vectors, order, nodes = (tree[x] for x in ("ids", "vectors", "order", "nodes"))
-    norms = np.linalg.norm(vectors, axis=1)
-    unit = vectors / norms[:, None]
-    own = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+    """For each query its id and the ids and cosines of the k best rows found, its own id left out; ties to smaller ids.
+
+    Of several rows with one id the nearest counts.
+    """
+    ids, order, nodes = (tree[x] for x in ("ids", "order", "nodes"))
+    vectors, queries = _scaled(tree["vectors"]), _scaled(queries)
+    norms, lengths = np.sqrt(_sums(vectors * vectors)), np.sqrt(_sums(queries * queries))
+    unit, own = vectors / norms[:, None], queries / lengths[:, None]
     vantages = nodes[:, 2].astype(np.int64)
     split = np.flatnonzero(vantages >= 0)
     place = np.full(len(nodes), -1)
@@ -77,18 +97,19 @@ def search(tree: dict[str, np.ndarray], queries: np.ndarray, query_ids: np.ndarr
         reach, todo = 3.0, [(0.0, 0)]
         while todo:
             bound, i = todo.pop()
-            if bound > factor * reach + 1e-9:
+            if bound > factor * reach + SLACK:
                 continue
             if place[i] < 0:
                 rows = order[rows_of[i, 0] : rows_of[i, 1]]
                 cos = unit[rows] @ own[q]
                 if len(best_cos) == k:
-                    rows = rows[cos >= best_cos[-1] - 1e-12]
+                    rows = rows[cos >= best_cos[-1] - 1e-9]
                 rows = rows[ids[rows] != query_ids[q]]
                 if len(rows):
-                    exact = (vectors[rows] @ queries[q]) / (norms[rows] * np.linalg.norm(queries[q]))
+                    exact = _sums(vectors[rows] * queries[q]) / (norms[rows] * lengths[q])
                     all_cos, all_id = np.r_[best_cos, exact], np.r_[best_id, ids[rows]]
-                    top = np.lexsort((all_id, -all_cos))[:k]
+                    top = np.lexsort((all_id, -all_cos))
+                    top = top[np.sort(np.unique(all_id[top], return_index=True)[1])][:k]
                     best_cos, best_id = all_cos[top], all_id[top]
                     if len(top) == k:
                         reach = float(np.sqrt(max(0.0, 2 - 2 * best_cos[-1])))
@@ -108,15 +129,15 @@ def _packed(tree: dict[str, np.ndarray]) -> bytes:
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, v (array of doubles) and dim of vectors that are not null, zero or empty and hold finite numbers alone."""
     v = F.col("embedding").cast("array<double>")
-    square = F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x)
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & (square > 0) & (square < float("inf"))
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     return vectors.where(F.col("vec_id").isNotNull() & v.isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.size("embedding").alias("dim"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float = 0.9, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of each query by cosine, its own vec_id left out.
 
-    Both tables have vec_id and embedding; other columns are not read. Rows that repeat in id and vector count once.
+    Both tables have vec_id and embedding; other columns are not read. Rows that repeat in id and vector count once. Of rows that
+    share an id alone, each is a candidate and the nearest gives the id's score; as queries they have one answer together.
     Vectors of another length than the query's are no candidates. Every usable row is in a tree. A query with fewer than
     k candidates gets them all, one without any gets no row; empty tables give none.
     """
@@ -155,4 +176,5 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
     # One pair of a tree and a block is one group: that is all a worker holds.
     answers = pairs.groupBy("shard", "dim", "block").applyInPandas(ask, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    answers = answers.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

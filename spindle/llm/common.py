@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,14 +30,36 @@ def words(text: Column) -> Column:
 def checkpointed(frame: DataFrame) -> DataFrame:
     """The frame written to the shared checkpoint folder, its lineage cut.
 
-    The folder is spark.checkpoint.dir; a folder of the driver's own is set only where that is unset (local runs).
+    The folder is spark.checkpoint.dir. Where that is unset, a local session gets a temporary folder and any other an error: a
+    folder of one machine is lost with it.
     """
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        where = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if where is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints-"))
     return frame.checkpoint(eager=True)
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """A column name that the frame does not have: `name` with as many underscores behind it as that takes."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What tells documents apart: 16 bytes of an MD5 of the id and the text (null text: empty; a null id is like no number)."""
+    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("-")), F.md5(F.coalesce(text.cast("string"), F.lit(""))))))
+
+
+def broadcast_if_few(keys: DataFrame, most: int = 500_000) -> DataFrame:
+    """A checkpointed frame of keys, to be broadcast if it has at most `most` rows; counted, not guessed."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def repeated(frame: DataFrame, copies: str, chunk: int = 4096) -> DataFrame:
     """Each row as often as its column `copies` says, without that column; arrays stay at `chunk` numbers."""
     return (

@@ -57,3 +57,29 @@ def test_odd_vectors(spark):
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(600)], "vec_id long, embedding array<double>")
     assert [r.vec_id for r in ann.nearest(same, same.where("vec_id = 3")).orderBy("rank").collect()] == [0, 1, 2, 4, 5]
     assert ann.nearest(table.limit(0), table).count() == ann.nearest(table, table.limit(0)).count() == 0
+
+
+def test_equal_vectors_have_equal_scores(spark):
+    """Copies at any place of any shard come in the order of their ids."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(60, 64))
+    rows = [(int(i), base[i % 60].tolist()) for i in rng.permutation(540)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(table, table.where("vec_id < 60"), k=8, factor=1.0, shard=130).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert {q: [v for _, v in sorted(x)] for q, x in got.items()} == {q: [q + 60 * k for k in range(1, 9)] for q in range(60)}
+
+
+def test_very_large_and_very_small_vectors_take_part(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1e200, 2e200]), (2, [1.0, 0.0]), (3, [1e-300, 2e-300]), (4, [5e-324, 0.0]), (5, [1.7e308, -1.7e308])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, round(r.score, 9)) for r in ann.nearest(table, table, k=2, factor=1.0).collect()}
+    assert len(got) == 12 and got[2, 1] == (0, 1.0) and got[2, 2] == (4, 1.0) and got[1, 1] == (3, 1.0) and got[5, 1][1] == round(0.5**0.5, 9)
+
+
+def test_one_id_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [1.0, 1.0]), (0, [0.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in ann.nearest(table, table.where("vec_id = 0"), k=3, factor=1.0).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 0.707107)]

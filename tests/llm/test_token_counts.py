@@ -10,8 +10,8 @@ from tokenizers import Tokenizer
 from spindle.llm import bpe, token_counts
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-TOKENIZER.encode_special_tokens = True
-LETTERS = st.one_of(st.characters(codec="utf-8"), st.sampled_from(list("ab1 '\n\tstrevmldé   ")))
+PARTS = st.one_of(st.characters(codec="utf-8"), st.sampled_from([*"ab1 '\n\tstrevmldé   ", "<|endoftext|>", "<|endof", "text|>"]))
+texts = lambda most: st.lists(PARTS, max_size=most).map("".join)
 
 
 def plain(text):
@@ -19,9 +19,9 @@ def plain(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(LETTERS, max_size=80), st.lists(st.tuples(st.integers(0, 90), st.integers(0, 90), st.text(LETTERS, max_size=8)), max_size=6))
+@given(texts(80), st.lists(st.tuples(st.integers(0, 90), st.integers(0, 90), texts(8)), max_size=6))
 def test_edits_one_after_another(text, edits):
-    tree = token_counts.Counted(text, bpe.load(bpe.default_path()), leaf=2)
+    tree = token_counts.Counted(text, token_counts.counts_of(bpe.default_path()), leaf=2)
     for a, b, new in edits:
         a, b = min(a, len(text)), min(max(a, b), len(text))
         tree.edit(a, b, new)
@@ -33,7 +33,7 @@ def test_edits_one_after_another(text, edits):
 def test_a_small_edit_of_a_long_text_encodes_little():
     rng = random.Random(2)
     text = " ".join(rng.choice(["alpha", "beta,", "it's", "\n", "12 ", "gamma"]) for _ in range(20_000))
-    tree = token_counts.Counted(text, bpe.load(bpe.default_path()))
+    tree = token_counts.Counted(text, token_counts.counts_of(bpe.default_path()))
     for _ in range(50):
         before, a = tree.encoded, rng.randrange(len(text))
         tree.edit(a, a + 3, "new words ")
@@ -55,3 +55,29 @@ def test_every_document(documents, odd, nothing):
         assert sorted((str(r.doc_id), r.n_chars, r.n_tokens, r.n_edits, r.n_tokens_edited) for r in rows) == sorted(expected)
     assert sum(r.n_edits for r in token_counts.count(documents, bpe.default_path()).collect()) > 0
     assert token_counts.count(nothing, bpe.default_path()).count() == 0
+
+
+class _Spied(token_counts._Counts):
+    def __init__(self, table):
+        super().__init__(table)
+        self.asked = []
+
+    def __getitem__(self, token):
+        self.asked.append(token)
+        return super().__getitem__(token)
+
+
+def test_untouched_pretokens_are_not_asked_for_again():
+    text = " ".join(["x" * 81] * 40)
+    tree = token_counts.Counted(text, counts := _Spied(bpe.load(bpe.default_path())))
+    before, counts.asked = tree.encoded, []
+    tree.edit(0, 1, "y")
+    assert tree.encoded - before == len(counts.asked) <= 2 and tree.tokens == plain("y" + text[1:])
+
+
+def test_leaves_stay_short():
+    tree = token_counts.Counted("a b c", token_counts.counts_of(bpe.default_path()))
+    tree.edit(1, 1, " new words" * 20_000)
+    for i in range(300):
+        tree.edit(2 * i, 2 * i, " z")
+    assert max(map(len, tree.leaves)) <= 4 * token_counts.LEAF and tree.tokens == plain(tree.text)
