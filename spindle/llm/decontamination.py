@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, repeated, words
+from .common import broadcast_if_few, checkpointed, repeated, row_key, unused, words
 
 #: Most n-grams that are broadcast (some 30 MB). Beyond it, all windows are joined to the n-grams by a shuffle.
 BROADCAST_GRAMS = 200_000
@@ -93,8 +93,9 @@ def _merged(spans: str):
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """The documents, with all their columns, that share no window with the benchmark; the others are removed.
 
-    Documents are told apart by id and text. Empty texts share nothing and stay; repeated rows stay or go together.
+    Documents are told apart by id and text. Empty texts share nothing and stay; repeated rows stay or go together. Keys of
+    hits, not texts, are gathered: they are broadcast if counted few, else joined by a shuffle.
     """
-    key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("a"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("b"))
-    hit = scan(docs, benchmark, n).where(F.size("spans") > 0).select(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("a"), F.col("text_md5").alias("b")).alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(hit, "_key", "left_anti").drop("_key")
+    key = unused(docs, "key_")
+    hit = checkpointed(scan(docs, benchmark, n).where(F.size("spans") > 0).select(F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text_md5"))).alias(key)).distinct())
+    return docs.withColumn(key, row_key(F.col("doc_id").cast("long"), F.col("text"))).join(broadcast_if_few(hit), key, "left_anti").drop(key)

@@ -1,8 +1,8 @@
 """Quality classifier: ridge regression on random Fourier features of document statistics, isotonically calibrated.
 
-The statistics of every text are worked out in one pass and kept (some 25 numbers a document). Each partition sums its
-normal equations over the labelled rows; the sums, not the rows, are added up. Calibration counts labelled rows in bins of
-the raw score, so the driver sees a bounded table at any size.
+Training reads labelled documents alone (at most about `sample` of them, by a hash of their ids); scoring reads every text once.
+Each partition sums its normal equations; the sums, not the rows, are added up in rounds of a bounded fan-in. Calibration
+counts labelled rows in bins of the raw score, so the driver sees a bounded table at any size.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, unused
 
 _UPPER, _LOWERC, _DIGIT = slice(65, 91), slice(97, 123), slice(48, 58)
 _BLANK = [9, 10, 11, 12, 13, 32]
@@ -24,6 +24,10 @@ _PLAIN = [ord(c) for c in ".,;:?'\"()-"]
 STATISTICS = 26
 #: Bins of the raw score for calibration.
 BINS = 2048
+#: Labelled documents that training reads, about: all where there are no more, else those with the smallest hashes of their ids.
+SAMPLE = 400_000
+#: Arrays that one task adds up in a round.
+FAN_IN = 16
 
 
 def statistics(text: str | None) -> list[float]:
@@ -52,15 +56,17 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and features (array of statistics) of every document; other columns are not read."""
+def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the columns of keep and features (array of statistics) of every document; other columns are not read."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [statistics(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "features"])
+            rows = [statistics(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *keep)), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", *keep, "features"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, "doc_id long, features array<double>")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("string").alias("text"))
+    shape = {f.name: f.dataType.simpleString() for f in read.schema.fields}
+    return read.mapInArrow(each, ", ".join(f"{c} {shape[c]}" for c in ("doc_id", *keep)) + ", features array<double>")
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -116,7 +122,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 def _summed(frame: DataFrame, per_batch, size: int) -> np.ndarray:
     """The sum over all rows of arrays of `size` numbers that per_batch makes of each batch of rows.
 
-    A partition gives one array; the arrays of many partitions are added up in a few tasks before the driver adds the rest.
+    A partition gives one array; rounds of tasks add up FAN_IN of them each until the driver adds the last few.
     """
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,23 +138,36 @@ def _summed(frame: DataFrame, per_batch, size: int) -> np.ndarray:
                 total += np.frombuffer(x.as_py())
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
-    parts = frame.mapInArrow(part, "total binary").repartition(4).mapInArrow(added, "total binary").collect()
-    return np.sum([np.frombuffer(r["total"]) for r in parts], axis=0)
+    left = frame.rdd.getNumPartitions()
+    parts = frame.mapInArrow(part, "total binary")
+    while left > FAN_IN:
+        left = -(-left // FAN_IN)
+        parts = parts.repartition(left).mapInArrow(added, "total binary")
+    return np.sum([np.zeros(size), *(np.frombuffer(r["total"]) for r in parts.collect())], axis=0)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
-def fit(features: DataFrame, labels: DataFrame, dimensions: int = 192, width: float = 4.0, ridge: float = 1e-3, seed: int = 7) -> Model:
-    """The model of labelled rows outside the held-out fold (doc_id, features joined to doc_id, label).
+def marked(labels: DataFrame, folds: int, held: int, sample: int) -> DataFrame:
+    """id_ and label (averaged) of labelled ids outside the held-out fold: all, or about `sample` where there are more."""
+    marks = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id_")).agg(F.avg("label").cast("double").alias("label"))
+    marks = checkpointed(marks.where(fold(F.col("id_"), folds) != held))
+    there = marks.count()
+    return marks if there <= sample else marks.where(F.pmod(F.xxhash64("id_"), F.lit(1 << 30)) < int(sample / there * (1 << 30)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, dimensions: int = 192, width: float = 4.0, ridge: float = 1e-3, seed: int = 7, sample: int = SAMPLE) -> Model:
+    """The model of labelled documents (doc_id, text joined to doc_id, label) outside the held-out fold.
 
     Rows of fold 2 of 4 are never read; folds 0 and 1 fit the scores, fold 3 the calibration. Null labels are left out,
-    repeated labels of a document averaged; without any labelled rows every score is 0.5.
+    repeated labels of a document averaged; of several documents with a labelled id each counts. Without any labelled rows
+    every score is 0.5.
     """
-    marks = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id_")).agg(F.avg("label").cast("double").alias("label"))
-    known = features.where(fold(F.col("doc_id"), 4) != 2).join(marks, F.col("doc_id") == F.col("id_")).select("features", "label", fold(F.col("doc_id"), 4).alias("fold"))
-    known = checkpointed(known)
+    marks = marked(labels, 4, 2, sample)  # about `sample` pairs of numbers at most, so they may be broadcast
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marks), F.col("doc_id") == F.col("id_"))
+    known = checkpointed(with_statistics(rows, "label").select("features", "label", fold(F.col("doc_id"), 4).alias("fold")))
     fitted = known.where(F.col("fold") != 3).select("features", "label")
     d = STATISTICS
 
@@ -189,17 +208,6 @@ def fit(features: DataFrame, labels: DataFrame, dimensions: int = 192, width: fl
     return model
 
 
-def scored(features: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of every row of features."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))))], ["doc_id", "score"])
-
-    return features.mapInArrow(each, "doc_id long, score double")
-
-
 def score_column(model: Model, text: Column) -> Column:
     """The score of a text column, as a pandas UDF."""
 
@@ -209,18 +217,20 @@ def score_column(model: Model, text: Column) -> Column:
     return F.pandas_udf(score, "double")(text.cast("string"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher for better texts) and predicted of every document.
 
     Nothing but the text enters a score. Null, empty and blank texts have statistics of zero and are scored like others; null
     doc_ids have no label; repeated rows are scored alike; an empty table gives no rows.
     """
-    features = checkpointed(with_statistics(docs))
-    found = scored(features, fit(features, labels))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score_column(fit(docs, labels, sample=sample), F.col("text")).alias("score"))
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents, with all their columns, that score at least the threshold."""
-    model = fit(checkpointed(with_statistics(docs)), labels)
-    return docs.withColumn("_score", score_column(model, F.col("text"))).where(F.col("_score") >= threshold).drop("_score")
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
+    """The documents, with all their columns, that score at least the threshold.
+
+    Null, empty and blank texts are scored like others (statistics of zero), repeated rows alike; columns may have any names.
+    """
+    score = unused(docs, "score_")
+    return docs.withColumn(score, score_column(fit(docs, labels, sample=sample), F.col("text"))).where(F.col(score) >= threshold).drop(score)

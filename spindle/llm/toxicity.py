@@ -1,22 +1,25 @@
 """Toxicity classifier: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the mean of the vectors of its character n-grams and of itself, hashed into a fixed table; a text is the mean of
-its words. A misspelling that was never seen shares most n-grams, and so most of its vector, with the word it hides.
-As text and word are plain means, the difference of the two class scores of a text is the mean of one number per word:
-scoring keeps a table of the words met so far and needs one look-up per word.
+its words, each weighted by the root of how often it occurs, so that a line repeated over and over doesn't drown the rest. A misspelling that was never seen shares most n-grams, and so most of its vector, with the word it hides.
+As text and word are means, the difference of the two class scores of a text is the mean of one number per distinct word:
+scoring keeps a table of the words met so far and needs one look-up per distinct word.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
+from operator import mul
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed, unused
 from .quality import fold
 
 BUCKETS = 1 << 17
@@ -28,19 +31,28 @@ SCALE = 100.0
 #: Most labelled documents that training reads, chosen by a hash of their ids; fewer if there are fewer.
 SAMPLE = 6_000
 WORD = re.compile(r"[^\W_]+(?:['@$!*][^\W_]+)*")
-#: Words of more characters than this are scored by n-grams of their two ends.
-LONG = 40
+#: Runs of more letters than this are read as pieces of this length, each OVERLAP letters into the one before: nothing is left out.
+LONG, OVERLAP = 40, 12
+#: Most bytes of text that training takes to the driver; of the sample those documents, in its order, that still have room.
+SAMPLE_BYTES = 64 << 20
 _SCORES: dict[str, "_Words"] = {}
 
 
 def words(text: str | None) -> list[str]:
-    """The lower-cased words of a whole text; signs that stand for letters stay inside them."""
-    return WORD.findall(text.lower()) if text else []
+    """The lower-cased words of a whole text; signs that stand for letters stay inside them.
+
+    A run of more than LONG letters (words glued together, scripts without blanks) is read as overlapping pieces, so that what
+    toxic stem it holds is not lost in the mean of its n-grams.
+    """
+    found = WORD.findall(text.lower()) if text else []
+    if found and max(map(len, found)) > LONG:
+        return [p for w in found for p in ([w] if len(w) <= LONG else (w[i : i + LONG] for i in range(0, len(w) - OVERLAP, LONG - OVERLAP)))]
+    return found
 
 
 def grams(word: str) -> list[int]:
-    """Buckets of a word: itself and its character n-grams of 3 to 6 with marks at both ends."""
-    w = f"<{word}>" if len(word) <= LONG else f"<{word[: LONG // 2]}\0{word[-LONG // 2 :]}>"
+    """Buckets of a word: itself and its character n-grams of 3 to 5 with marks at both ends."""
+    w = f"<{word}>"
     crc = zlib.crc32
     return [crc(w.encode()) % BUCKETS, *(crc(w[i : i + n].encode(), n) % BUCKETS for n in (3, 4, 5) for i in range(len(w) - n + 1))]
 
@@ -63,8 +75,9 @@ class Model:
             table = _SCORES[self.name] = _Words(self.weight, self.common)
         out = np.empty(len(texts))
         for i, text in enumerate(texts):
-            got = words(text)
-            out[i] = self.bias + (sum(map(table.__getitem__, got)) / len(got) if got else 0.0)
+            bag = Counter(words(text))
+            parts = [n**0.5 for n in bag.values()]
+            out[i] = self.bias + (sum(map(mul, map(table.__getitem__, bag), parts)) / sum(parts) if bag else 0.0)
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -82,22 +95,25 @@ class _Words(dict):
             self.clear()
         got = self._weight[grams(word)]
         value = float(got.sum() / len(got)) * COMMON / (COMMON + self._common.get(word, 0.0))
-        if len(word) <= 64:
-            self[word] = value
+        self[word] = value
         return value
 
 
-def train(texts: list[str], toxic: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 40.0, sparse: float = 2e-4, kept: float = 0.06, again: int = 6, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, float]]:
+def train(texts: list[str], toxic: np.ndarray, steps: int = 2000, batch: int = 64, rate: float = 40.0, sparse: float = 2e-4, kept: float = 0.06, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, float]]:
     """Vectors of the buckets, class vectors, class offsets and the shares of common words, fitted by gradient descent on the log loss of the softmax.
 
     Both classes weigh the same. A step is in proportion to the gradient, not normed per number as in adaptive methods, so
     what many texts of a class share outweighs the words that single texts happen to have. One word in fifty decides a
     text, so the mean is scaled up before the softmax. Each step draws the length of every bucket's vector nearer to zero
-    by `sparse` (a group lasso): buckets that tell nothing end near zero. After `epochs` the buckets with a vector shorter than
-    `kept` of the longest go to zero and stay there, and the rest are trained `again`, faster and without the pull.
+    by `sparse` (a group lasso): buckets that tell nothing end near zero. After 5/8 of the passes over the texts (about
+    `steps` steps in all) the buckets with a vector shorter than `kept` of the longest go to zero and stay there, and the rest
+    are trained on, faster and without the pull. Buckets that no text has are zero.
     """
     index: dict[str, int] = {}
     docs = [np.unique(np.array([index.setdefault(w, len(index)) for w in words(t)] or [-1], np.int32), return_counts=True) for t in texts]
+    docs = [(ids, np.sqrt(n)) for ids, n in docs]
+    passes = max(8, -(-steps * batch // max(1, len(docs))))
+    epochs, again = 5 * passes // 8, passes - 5 * passes // 8
     often = np.zeros(len(index) + 1)
     for ids, n in docs:
         often[ids] += n / n.sum() / len(docs)
@@ -105,11 +121,11 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 10, batch: int = 64
     listed = [np.array(grams(w), np.int32) for w in index]
     lengths = np.array([len(x) for x in listed] or [0])
     starts = np.r_[0, np.cumsum(lengths)]
-    flat = np.concatenate(listed) if listed else np.zeros(0, np.int32)
+    used, flat = np.unique(np.concatenate(listed) if listed else np.zeros(0, np.int32), return_inverse=True)
     calm = (COMMON / (COMMON + often[:-1])).astype(np.float32)
     del listed, index
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.01, (BUCKETS, SIZE)).astype(np.float32)
+    vectors = rng.normal(0, 0.01, (len(used), SIZE)).astype(np.float32)
     classes, offsets = np.zeros((SIZE, 2), np.float32), np.zeros(2, np.float32)
     classes[:, 1] = rng.normal(0, 1, SIZE)
     classes[:, 0] = -classes[:, 1]
@@ -118,7 +134,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 10, batch: int = 64
     for epoch in range(epochs + again):
         if epoch == epochs:
             size = np.sqrt((vectors * vectors).sum(axis=1))
-            held = size > kept * size.max()
+            held = size > kept * size.max(initial=0)
             vectors[~held] = 0
             sparse, rate = 0.0, 5 * rate
         order = rng.permutation(len(docs))
@@ -143,21 +159,24 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 10, batch: int = 64
             spread = np.repeat(part / sizes, sizes)
             now = rate * min(1.0, 2 * (1 - (epoch * len(order) + at) / ((epochs + again) * len(order))))
             for j in range(SIZE):
-                vectors[:, j] -= now * np.bincount(buckets, spread * np.repeat(d_doc[rows, j], sizes), BUCKETS)
+                vectors[:, j] -= now * np.bincount(buckets, spread * np.repeat(d_doc[rows, j], sizes), len(used))
             if held is not None:
                 vectors[~held] = 0
             vectors *= np.maximum(0, 1 - now * sparse / np.maximum(np.sqrt((vectors * vectors).sum(axis=1, keepdims=True)), 1e-9))
             classes -= 0.02 * (doc.T @ p)
             offsets -= 0.5 * p.sum(axis=0)
-    return vectors * SCALE, classes, offsets, common
+    whole = np.zeros((BUCKETS, SIZE), np.float32)
+    whole[used] = vectors * SCALE
+    return whole, classes, offsets, common
 
 
 def calibrated(margin: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A logistic curve of the margin (Platt) over weighted rows, as knots for interpolation."""
+    """A logistic curve (Platt) over weighted rows, as knots for interpolation; of the margin's inverse hyperbolic sine, so that
+    the outlying margins of short texts don't flatten it."""
     a, b = 1.0, 0.0
     target = np.where(toxic == 1, ((toxic == 1).sum() + 1) / ((toxic == 1).sum() + 2), 1 / ((toxic == 0).sum() + 2))
-    scale = margin.std() or 1.0
-    x = margin / scale
+    scale = float(np.median(np.abs(margin))) or 1.0
+    x = np.arcsinh(margin / scale)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
         w = np.maximum(p * (1 - p), 1e-9) * weight
@@ -166,27 +185,36 @@ def calibrated(margin: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tup
         da, db = np.linalg.solve(h, [(off * x).sum() + 1e-3 * a, off.sum()])
         a, b = a - np.clip(da, -1, 1), b - np.clip(db, -1, 1)
     knots = np.linspace(min(-12.0, float(x.min())), max(12.0, float(x.max())), 4001)
-    return knots * scale, 1 / (1 + np.exp(-np.clip(a * knots + b, -30, 30)))
+    return np.sinh(knots) * scale, 1 / (1 + np.exp(-np.clip(a * knots + b, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model of at most `sample` labelled documents outside the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """The model of at most `sample` labelled documents, of `sample_bytes` in all, outside the held-out fold.
 
     Rows of fold 1 of 3 are never read. The sample is the documents with the smallest hashes of their ids, half of it from
     each class where there are so many. A fifth of it is left to calibration, whose rows count as their classes do among all
-    labelled rows. Without rows of both classes every score is the
-    share of toxic rows (0 without any row).
+    labelled rows. Of several documents with a labelled id the smallest text counts. Without rows of both classes every score
+    is the share of toxic rows (0 without any row).
     """
-    marks = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id_")).agg((F.avg("label") >= 0.5).cast("int").alias("label"))
-    marks = marks.where(fold(F.col("id_"), 3) != 1)
+    marks = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id_")).agg((F.avg("label") >= 0.5).cast("int").alias("label"))
+    marks = checkpointed(marks.where(fold(F.col("id_"), 3) != 1))
     there = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = F.xxhash64("id_")
     halves = [marks.where(F.col("label") == k).orderBy(order).limit(sample // 2) for k in (0, 1)]
     chosen = halves[0].union(halves[1])  # at most `sample` pairs of numbers
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id_")).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
-    rows = known.orderBy(F.xxhash64("doc_id")).toPandas()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id_"))
+    known = checkpointed(known.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")))
+    sizes = known.select("doc_id", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id")).collect()
+    room, fitting = sample_bytes, []
+    for r in sizes:
+        if r["size"] <= room:
+            room -= r["size"]
+            fitting.append((r["doc_id"],))
+    taken = docs.sparkSession.createDataFrame(fitting, "id_ long")
+    rows = known.join(F.broadcast(taken), F.col("doc_id") == F.col("id_"), "left_semi").orderBy(F.xxhash64("doc_id")).toPandas()
     toxic = rows["label"].to_numpy(float) if len(rows) else np.zeros(0)
-    texts = [t or "" for t in rows["text"].tolist()] if len(rows) else []
+    texts = rows["text"].tolist() if len(rows) else []
     if not len(set(toxic)) == 2:
         share = float(toxic.mean()) if len(toxic) else 0.0
         return Model(np.zeros(BUCKETS), {}, 0.0, np.array([0.0]), np.array([share]), f"none {share}")
@@ -220,6 +248,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
-    """The documents, with all their columns, that score below the threshold."""
-    model = fit(docs, labels, sample)
-    return docs.withColumn("_score", score_column(model, F.col("text"))).where(F.col("_score") < threshold).drop("_score")
+    """The documents, with all their columns, that score below the threshold.
+
+    Texts without words (null, empty, blank) are scored by the offsets, repeated rows alike; columns may have any names.
+    """
+    score = unused(docs, "score_")
+    return docs.withColumn(score, score_column(fit(docs, labels, sample), F.col("text"))).where(F.col(score) < threshold).drop(score)

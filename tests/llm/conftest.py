@@ -31,7 +31,7 @@ def odd(spark):
     ]
     schema = "doc_id long, text string, fp string, size long"
     frame = spark.createDataFrame(rows, schema)
-    extra = {c: "clash" for c in ("component_id", "root", "word", "p", "gram", "item", "bucket", "digest", "shard", "score", "copies", "text_md5", "w", "_key_", "features", "k", "bits")}
+    extra = {c: "clash" for c in ("component_id", "root", "word", "p", "gram", "item", "bucket", "digest", "shard", "score", "copies", "text_md5", "w", "_key_", "key_", "_key", "score_", "_score", "id_", "label", "features", "k", "bits", "sid", "grams", "prefix", "fp_", "md5")}
     from pyspark.sql import functions as F
 
     return frame.withColumns({c: F.lit(v) for c, v in extra.items()})

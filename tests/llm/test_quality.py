@@ -38,6 +38,36 @@ def test_odd_rows(spark, odd, nothing, documents, sf):
     assert quality.classify(nothing, labels).count() == 0
     mixed = labels.unionByName(spark.createDataFrame([(1, None), (None, 1.0), (2, 0.0), (2, 1.0)], "doc_id long, label double"))
     assert quality.classify(documents, mixed).count() == documents.count()
+    every = quality.keep_good(odd, labels.limit(0), threshold=0.5)
+    assert every.columns == odd.columns and every.count() == odd.count()
     kept = quality.keep_good(documents, labels)
     good = {r.doc_id for r in quality.classify(documents, labels).where("predicted = 1").collect()}
     assert kept.columns == documents.columns and {r.doc_id for r in kept.collect()} == good
+
+
+def test_fit_is_the_dense_ridge_solution(spark, documents, sf):
+    labels = labels_of(spark, sf, "quality")
+    model = quality.fit(documents, labels, dimensions=24)
+    rows = documents.join(labels, "doc_id").selectExpr("text", "label", "crc32(cast(cast(doc_id as string) as binary)) % 4 as fold").collect()
+    own = [r for r in rows if r.fold in (0, 1)]
+    x, y = np.array([quality.statistics(r.text) for r in own]), np.array([r.label for r in own])
+    assert np.allclose(model.fourier.mean, x.mean(axis=0)) and np.allclose(model.fourier.scale, np.maximum(x.std(axis=0), 1e-4), atol=1e-6)
+    z = model.fourier(x)
+    pull = 1e-3 * len(x) * np.diag([*[1.0] * (z.shape[1] - 1), 1e-6])
+    stacked = np.linalg.lstsq(np.vstack([z, np.sqrt(pull)]), np.concatenate([y, np.zeros(len(pull))]), rcond=None)[0]
+    assert np.allclose(model.coefficients, stacked, atol=1e-6)
+    rest = [r for r in rows if r.fold == 3]
+    raw = np.clip(model.raw(np.array([quality.statistics(r.text) for r in rest])), -1, 2)
+    assert all(np.diff(model.values) >= 0) and abs(np.mean(model.score(np.array([quality.statistics(r.text) for r in rest]))) - np.mean([r.label for r in rest])) < 0.1 and raw.size
+
+
+def test_sums_go_through_rounds(spark):
+    frame = spark.range(1000).selectExpr("cast(id as double) as x").repartition(50)
+    total = quality._summed(frame, lambda b: np.array([b.num_rows, b.column(0).to_numpy().sum()]), 2)
+    assert total.tolist() == [1000.0, 499500.0]
+
+
+def test_a_sample_of_the_labels(spark, documents, sf):
+    marks = quality.marked(labels_of(spark, sf, "quality"), 4, 2, 40)
+    assert 20 <= marks.count() <= 60 and quality.marked(labels_of(spark, sf, "quality").limit(0), 4, 2, 40).count() == 0
+    assert quality.classify(documents, labels_of(spark, sf, "quality"), sample=60).count() == documents.count()
