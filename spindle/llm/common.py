@@ -50,9 +50,28 @@ def unused(frame: DataFrame, name: str) -> str:
     return name
 
 
+def key_of(doc_id: Column, text_md5: Column) -> Column:
+    """What tells documents apart: 16 bytes of an MD5 of the id (null: like no number) and the MD5 of the text."""
+    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("-")), text_md5)))
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
-    """What tells documents apart: 16 bytes of an MD5 of the id and the text (null text: empty; a null id is like no number)."""
-    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("-")), F.md5(F.coalesce(text.cast("string"), F.lit(""))))))
+    """The same from the text; a null text counts as empty."""
+    return key_of(doc_id.cast("long"), F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def hot_join(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """rows joined to named (one row a key), where a key may have a third of all rows.
+
+    Keys with more than a hundred-thousandth of the rows, and more than 1,000, are joined by a broadcast: there can't be more
+    than 100,000 of them. The others are shuffled, none of them hot.
+    """
+    most = max(1000, rows.count() // 100_000)
+    hot = checkpointed(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(key))
+    if hot.isEmpty():
+        return rows.join(named, key)
+    big = rows.join(F.broadcast(named.join(F.broadcast(hot), key, "left_semi")), key)
+    return big.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(named, key))
 
 
 def broadcast_if_few(keys: DataFrame, most: int = 500_000) -> DataFrame:

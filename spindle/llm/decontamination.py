@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_few, checkpointed, repeated, row_key, unused, words
+from .common import broadcast_if_few, checkpointed, key_of, repeated, row_key, unused, words
 
 #: Most n-grams that are broadcast (some 30 MB). Beyond it, all windows are joined to the n-grams by a shuffle.
 BROADCAST_GRAMS = 200_000
@@ -97,5 +97,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     hits, not texts, are gathered: they are broadcast if counted few, else joined by a shuffle.
     """
     key = unused(docs, "key_")
-    hit = checkpointed(scan(docs, benchmark, n).where(F.size("spans") > 0).select(F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text_md5"))).alias(key)).distinct())
-    return docs.withColumn(key, row_key(F.col("doc_id").cast("long"), F.col("text"))).join(broadcast_if_few(hit), key, "left_anti").drop(key)
+    hit = checkpointed(scan(docs, benchmark, n).where(F.size("spans") > 0).select(key_of(F.col("doc_id"), F.col("text_md5")).alias(key)).distinct())
+    return docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(broadcast_if_few(hit), key, "left_anti").drop(key)

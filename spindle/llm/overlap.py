@@ -1,22 +1,23 @@
-"""Near duplicates by their common shingles: every pair of documents whose sets have a Jaccard of 4/5 or more.
+"""The exact half of SimHash near-duplicates: every pair of documents whose shingle sets have a Jaccard of p/q or more.
 
-SimHash within a few bits misses most such pairs, so candidates come from prefix filtering, which leaves none out: with
-all sets in one order, two sets of such a Jaccard share an element among the first n - ceil(4n/5) + 1 of each. The order
-puts shingles that a sample of the documents has often last; any order is right, this one keeps buckets small. Every
+Fingerprints within a few bits miss most such pairs, so further candidates come from prefix filtering, which leaves none out:
+with all sets in one order, two sets of such a Jaccard share an element among the first n - ceil(n * p/q) + 1 of each. The
+order puts shingles that a sample of the documents has often last; any order is right, this one keeps buckets small. Every
 candidate is verified on the whole sets. Shingles and sets go by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
-from .simhash import components, stay
+from .common import broadcast_if_few, checkpointed
+from .shingles import fingerprint_of, hashes
 
 #: Documents that the order of shingles is taken from, and the shingles it tells apart from rare ones.
 SAMPLE, COMMON = 20_000, 100_000
@@ -26,18 +27,13 @@ STAR_FROM, STARS = 24, 3
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
     """The sorted hashes of the distinct runs of `width` words; a shorter text is one run, a text without words none."""
-    import xxhash
+    return np.unique(hashes(text, width).view(np.int64))
+
 
-    got = (text or "").encode().lower().split()  # bytes: A-Z alone are lowered, ASCII blanks alone split
-    if not got:
-        return np.empty(0, np.int64)
-    joined, ends = b" ".join(got), np.cumsum([len(w) + 1 for w in got]).tolist()
-    digest = xxhash.xxh64_intdigest
-    if len(got) <= width:
-        hashes = [digest(joined, 42)]
-    else:
-        hashes = [digest(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[width - 1 :])]
-    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+def _ratio(similarity: float) -> tuple[int, int]:
+    """The similarity as the fraction p/q that its decimals say; |A & B| * (p + q) >= p * (|A| + |B|) compares a Jaccard with it."""
+    got = Fraction(str(similarity))
+    return got.numerator, got.denominator
 
 
 def _name(own: np.ndarray) -> int:
@@ -71,38 +67,44 @@ def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return rows["gram"].to_numpy(), rows["often"].to_numpy()
 
 
-def _prefixes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_md5, sid (names the set), n (its size) and prefix of every document."""
+def prints(docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """doc_id, text_md5, sid (names the set), n (its size), fp (the fingerprint, signed) and prefix of every document."""
     grams, often = _common(docs, width)
+    p, q = _ratio(similarity)
 
     def prefix(own: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(grams, own), max(len(grams) - 1, 0))
         weight = np.where(grams[at] == own, often[at], 0) if len(grams) else np.zeros(len(own), np.int64)
-        return own[np.lexsort((own, weight))][: len(own) + 4 * len(own) // -5 + 1] if len(own) else own
+        return own[np.lexsort((own, weight))][: len(own) + p * len(own) // -q + 1] if len(own) else own
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), width) for t in batch.column(2)]
-            arrays = [pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([prefix(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "text_md5", "sid", "n", "prefix"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                every = [hashes(t.as_py(), width) for t in part.column(2)]
+                sets = [np.unique(h.view(np.int64)) for h in every]
+                named = pa.array([_name(s) for s in sets], pa.int64())
+                bits = pa.array(np.array([fingerprint_of(h) for h in every], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), named, pa.array([len(s) for s in sets], pa.int32()), bits, pa.array([prefix(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "text_md5", "sid", "n", "fp", "prefix"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(_text()).alias("text_md5"), _text().alias("text"))
-    return read.mapInArrow(each, "doc_id long, text_md5 string, sid long, n int, prefix array<long>")
+    return read.mapInArrow(each, "doc_id long, text_md5 string, sid long, n int, fp long, prefix array<long>")
 
 
-def _candidates(keyed: DataFrame, turn: int | None) -> DataFrame:
+def _candidates(keyed: DataFrame, turn: int | None, similarity: float) -> DataFrame:
     """Pairs a, b of each bucket (key) that lengths and places allow, unless they have one root already.
 
     Small buckets give all their pairs. Larger ones those of the member that `turn` picks, and, with b null, their own
     rows for later turns; with no turn all their pairs too.
     """
     columns = ["key", "at", "sid", "n", "root"]
+    p, q = _ratio(similarity)
     keyed = keyed.select(*columns).repartition("key").sortWithinPartitions("key", "sid")
 
     def allowed(r: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         _, at, sid, n, root = r
         both = 1 + np.minimum(n[i] - at[i] - 1, n[j] - at[j] - 1)  # at the first common shingle, no more can be common
-        ok = (sid[i] != sid[j]) & (root[i] != root[j]) & (9 * both >= 4 * (n[i] + n[j]))
+        ok = (sid[i] != sid[j]) & (root[i] != root[j]) & ((p + q) * both >= p * (n[i] + n[j]))
         return i[ok], j[ok]
 
     def found(r: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -153,15 +155,23 @@ def _candidates(keyed: DataFrame, turn: int | None) -> DataFrame:
     return keyed.mapInArrow(stream, "key long, at int, a long, n int, b long")
 
 
-def links(docs: DataFrame, prints: DataFrame, width: int = 5) -> DataFrame:
-    """fp (a set's name) and root of every set that reaches another by pairs of Jaccard 4/5 or more."""
-    nodes = prints.where("n > 0").groupBy("sid").agg(F.min("text_md5").alias("md5"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+def links(docs: DataFrame, nodes: DataFrame, close: DataFrame, similarity: float, width: int = 5) -> DataFrame:
+    """fp (a set's name) and root of every set that reaches another by pairs of Jaccard `similarity` or more.
+
+    nodes has sid, md5 (of a text that makes the set), n and prefix of each set; close has pairs a, b that are candidates
+    already. These and the candidates of small buckets are verified together; large buckets whose members they have not yet
+    made one are looked at again, by one member a turn and at last in full.
+    """
+    from .simhash import components
+
     keyed = nodes.select("sid", "n", F.posexplode("prefix").alias("at", "key")).withColumn("root", F.col("sid"))
-    edges, turn, rooted = None, 0, None
+    edges, sets, turn = None, None, 0
     while True:
-        got = checkpointed(_candidates(keyed, turn if turn < STARS else None))
-        pairs = got.where("b IS NOT NULL").select("a", "b").distinct()
-        true = _verified(docs, nodes, pairs, width)
+        got = checkpointed(_candidates(keyed, turn if turn < STARS else None, similarity))
+        pairs = got.where("b IS NOT NULL").select("a", "b")
+        pairs = checkpointed((pairs if turn else pairs.union(close)).distinct())
+        sets = _sets_of(docs, nodes, pairs, sets, width)
+        true = _verified(pairs, sets, similarity)
         edges = checkpointed(true if edges is None else edges.union(true).distinct())
         rooted = components(edges)
         large = got.where("b IS NULL").select("key", "at", F.col("a").alias("sid"), "n")
@@ -175,24 +185,19 @@ def links(docs: DataFrame, prints: DataFrame, width: int = 5) -> DataFrame:
         turn += 1
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The pairs whose whole sets have a Jaccard of 4/5 or more; only texts in a pair are read into sets again."""
-    pairs = checkpointed(pairs)
+def _sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, have: DataFrame | None, width: int) -> DataFrame:
+    """sid and grams of every set in a pair, with those worked out before; only texts in a pair are read into sets again."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    needed = nodes.join(ids, "sid", "left_semi").select("md5")
-    texts = docs.select(_text().alias("text")).withColumn("md5", F.md5("text")).join(needed, "md5", "left_semi").dropDuplicates(["md5"])
+    ids = ids if have is None else ids.join(have.select("sid"), "sid", "left_anti")
+    needed = checkpointed(nodes.join(ids, "sid", "left_semi").select("md5"))
+    texts = docs.select(_text().alias("text")).withColumn("md5", F.md5("text")).join(broadcast_if_few(needed), "md5", "left_semi").dropDuplicates(["md5"])
     sets = checkpointed(_sets(texts, width))
-    one, two = (sets.select(F.col("sid").alias(x), F.col("grams").alias(f"{x}s")) for x in "ab")
-    both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("as", "bs")))
-    return both.where(9 * F.col("common") >= 4 * (F.size("as") + F.size("bs"))).select("a", "b")
-
+    return sets if have is None else have.union(sets)
 
-def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
-    """The documents, with all their columns, of which one of each component of near duplicates stays: the smallest doc_id.
 
-    Near duplicates have sets of `width`-word shingles with a Jaccard of 4/5 or more. Texts without words are one
-    component; those of fewer words are near only if equal but for A-Z and blanks. Rows are told apart as in simhash.stay.
-    """
-    prints = checkpointed(_prefixes(docs, width))
-    rooted = links(docs, prints, width).withColumnRenamed("fp", "sid")
-    return stay(docs, prints.select("doc_id", "text_md5", "sid").join(rooted, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose whole sets have a Jaccard of the similarity or more."""
+    p, q = _ratio(similarity)
+    one, two = (sets.select(F.col("sid").alias(x), F.col("grams").alias(f"{x}s")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("as", "bs")))
+    return both.where((p + q) * F.col("common") >= p * (F.size("as") + F.size("bs"))).select("a", "b")

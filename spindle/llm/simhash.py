@@ -1,7 +1,9 @@
 """SimHash near-duplicates: fingerprints, pigeonhole blocks, and the components of the links.
 
 Two fingerprints that differ in at most 4 of 64 bits agree on at least 2 of 6 blocks, so every link shows in one of the
-15 ways to choose 2 blocks. Distinct fingerprints, not documents, are joined on those bits and verified.
+15 ways to choose 2 blocks. Distinct fingerprints, not documents, are joined on those bits and verified. near_duplicates
+gives the components of such links; one_of_each takes them as candidates for pairs of a given similarity, verifies these on
+the shingles themselves, and lets overlap.py add the pairs of that similarity whose fingerprints are further apart.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from . import overlap
+from .common import broadcast_if_few, checkpointed, hot_join, key_of, row_key, unused
+from .shingles import fingerprint_of, hashes
 
 #: From this size on, a bucket gives the links of a spanning forest of itself instead of all its links.
 FOREST_FROM = 24
@@ -22,23 +26,7 @@ FOREST_FROM = 24
 
 def fingerprint(text: str | None, width: int = 4) -> int:
     """The 64-bit fingerprint of a text, unsigned; zero for a text without words."""
-    import xxhash
-
-    got = (text or "").encode().lower().split()  # bytes: A-Z alone are lowered, ASCII blanks alone split
-    if not got:
-        return 0
-    joined, ends = b" ".join(got), np.cumsum([len(w) + 1 for w in got]).tolist()
-    starts = [0, *ends]
-    digest = xxhash.xxh64_intdigest
-    if len(got) <= width:
-        hashes = [digest(joined, 42)]
-    else:
-        hashes = [digest(joined[a : b - 1], 42) for a, b in zip(starts, ends[width - 1 :])]
-    counts, step = np.zeros(64, np.int64), 1 << 16
-    for k in range(0, len(hashes), step):
-        part = np.array(hashes[k : k + step], "<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    return fingerprint_of(hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -54,6 +42,15 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return read.mapInArrow(each, "doc_id long, text_md5 string, fp long")
 
 
+def blocks_for(prints: int, distance: int = 4) -> int:
+    """How many blocks suit a number of distinct fingerprints: the fewest whose chosen bits part them into buckets of about
+    32 or fewer (6 blocks up to some 70 million fingerprints, 7 up to some 5 billion at a distance of 4)."""
+    blocks = distance + 2
+    while blocks < 2 * distance and prints >> (64 * (blocks - distance) // blocks) > 32:
+        blocks += 1
+    return blocks
+
+
 def masks(distance: int = 4, blocks: int = 6) -> list[int]:
     """The bits of each choice of blocks - distance blocks, as signed longs."""
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
@@ -79,51 +76,52 @@ def _bucket_links(fps: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.n
     return out
 
 
-def links(nodes: DataFrame, distance: int = 4, blocks: int = 6) -> DataFrame:
+def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, forest_from: int = FOREST_FROM) -> DataFrame:
     """Verified links a, b between distinct fingerprints (column fp) that keep every component whole.
 
-    Small buckets give all their links; larger ones those of a spanning forest, so that a group of m near copies gives
-    about m links, not m * m. Each bucket is a run of sorted 8-byte numbers that is read as a stream.
+    Buckets of fewer than `forest_from` fingerprints give all their links; larger ones those of a spanning forest of their
+    links, so that a group of m near copies gives about m links, not m * m: the components are the same, the set of links is not.
+    Each bucket is a run of sorted 8-byte numbers that is read as a stream. Without `blocks` their number follows that of the nodes.
     """
-    chosen = masks(distance, blocks)
+    chosen = masks(distance, blocks or blocks_for(nodes.count(), distance))
     table = F.array(*[F.struct(F.lit(k).cast("byte").alias("k"), F.lit(m).alias("m")) for k, m in enumerate(chosen)])
     keyed = nodes.select("fp", F.explode(table).alias("t")).select("fp", F.col("t.k").alias("k"), F.col("fp").bitwiseAND(F.col("t.m")).alias("bits"))
     keyed = keyed.repartition("k", "bits").sortWithinPartitions("k", "bits")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(fp: np.ndarray, k: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if not len(fp):
+                return
             new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (bits[1:] != bits[:-1])])
             sizes = np.diff(np.r_[new, len(fp)])
             size = np.repeat(sizes, sizes)
             pairs = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-            small = size < FOREST_FROM
+            small = size < forest_from
             for step in range(1, int(size[small].max(initial=1))):
                 i = np.flatnonzero(small[:-step] & (size[:-step] > step))
                 i = i[(k[i] == k[i + step]) & (bits[i] == bits[i + step])]
                 i = i[_differing(fp[i], fp[i + step]) <= distance]
                 pairs.append((fp[i], fp[i + step]))
-            for start, n in zip(new[sizes >= FOREST_FROM], sizes[sizes >= FOREST_FROM]):
+            for start, n in zip(new[sizes >= forest_from], sizes[sizes >= forest_from]):
                 pairs += _bucket_links(fp[start : start + n], distance)
             a, b = (np.concatenate(x) for x in zip(*pairs))
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        kept: list[np.ndarray] | None = None
+        kept: list[list[np.ndarray]] = []
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if not len(now[0]):
                 continue
-            if kept is not None:
-                now = [np.concatenate(x) for x in zip(kept, now)]
             same = (now[1] == now[1][-1]) & (now[2] == now[2][-1])
-            cut = len(same) if same.all() else len(same) - int(np.argmin(same[::-1]))
-            if same.all():
-                kept = now
+            cut = 0 if same.all() else len(same) - int(np.argmin(same[::-1]))
+            if not cut and kept and (kept[0][1][0], kept[0][2][0]) == (now[1][-1], now[2][-1]):
+                kept.append(now)  # a bucket of several batches is put together once
                 continue
-            yield from found(*[x[:cut] for x in now])
-            kept = [x[cut:] for x in now]
-        if kept is not None:
-            yield from found(*kept)
+            yield from found(*[np.concatenate(x) for x in zip(*kept, [x[:cut] for x in now])])
+            kept = [[x[cut:] for x in now]]
+        if kept:
+            yield from found(*[np.concatenate(x) for x in zip(*kept)])
 
     return keyed.mapInArrow(verify, "a long, b long").distinct()
 
@@ -152,41 +150,61 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, blocks: int = 6, width: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 4, blocks: int | None = None, width: int = 4) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach, its own included) of every document.
 
     A text that is null, empty or blank has fingerprint zero and links like any other. Equal fingerprints are one node, so
     copies and repeated rows cost nothing in the join. Rows with a null doc_id take part; a component of nothing else has
     a null component_id. An empty table gives no rows. Other columns are not read.
     """
-    return _grouped(docs, distance, blocks, width).select("doc_id", "fp", "component_id")
-
-
-def _grouped(docs: DataFrame, distance: int, blocks: int, width: int) -> DataFrame:
-    """doc_id, text_md5, fp, component_id and root (the component's smallest fp) of every document."""
-    prints = checkpointed(fingerprints(docs, width))
+    prints = checkpointed(fingerprints(docs, width).select("doc_id", "fp"))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = components(links(nodes.select("fp"), distance, blocks)).withColumnRenamed("fp", "fp_")
     linked = checkpointed(nodes.join(rooted, nodes["fp"] == rooted["fp_"]).select("fp", "root", "least"))
     smallest = linked.groupBy("root").agg(F.min("least").alias("reached"))
     reached = linked.join(smallest, "root").select(F.col("fp").alias("fp_"), "root", "reached")
-    named = nodes.join(reached, nodes["fp"] == reached["fp_"], "left").select(F.col("fp").alias("fp_"), F.coalesce("root", "fp").alias("root"), F.least("reached", "least").alias("component_id"))
-    return prints.join(named, prints["fp"] == named["fp_"]).drop("fp_")
+    named = nodes.join(reached, nodes["fp"] == reached["fp_"], "left").select("fp", F.least("reached", "least").alias("component_id"))
+    return hot_join(prints, named, "fp").select("doc_id", "fp", "component_id")
+
 
+def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, distance: int = 4, blocks: int | None = None) -> DataFrame:
+    """The documents, with all their columns, of which one of each group of near duplicates stays: the smallest doc_id.
 
-def one_of_each(docs: DataFrame, distance: int = 4, blocks: int = 6, width: int = 4) -> DataFrame:
-    """The documents, with all their columns, of which one of each component stays: the one with the smallest doc_id."""
-    return stay(docs, _grouped(docs, distance, blocks, width))
+    Near duplicates have sets of `width`-word shingles with a Jaccard of `similarity` or more, and groups are what such pairs
+    reach. Fingerprints within `distance` bits give candidates by pigeonhole blocks; of the pairs further apart, which at 0.8
+    are nine in ten, overlap.py leaves none out. Texts without words are one group; those of fewer words are near only if equal
+    but for A-Z and blanks. Of several rows with a group's smallest doc_id the one whose text has the smallest MD5 stays, and of
+    rows that repeat in id and text any one. Rows without a doc_id stay only if their whole group has none. Columns may have any
+    names; an empty table gives no rows.
+    """
+    prints = checkpointed(overlap.prints(docs, similarity, width))
+    nodes = prints.where("n > 0").groupBy("sid").agg(F.min("text_md5").alias("md5"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("fp").alias("fp"))
+    nodes = checkpointed(nodes)
+    of_print = nodes.groupBy("fp").agg(F.min("sid").alias("first"))
+    same = hot_join(nodes.select("fp", "sid"), of_print, "fp").where("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
+    close = links(of_print.select("fp"), distance, blocks)
+    one, two = (of_print.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_")) for x in "ab")
+    close = close.join(one, "a").join(two, "b").select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b"))
+    rooted = overlap.links(docs, nodes, close.union(same), similarity, width).select(F.col("fp").alias("sid"), "root")
+    own = prints.select("sid", F.lit(True).alias("own")).distinct().join(rooted, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"))
+    return stay(docs, hot_join(prints.select("doc_id", "text_md5", "sid"), own, "sid"))
 
 
 def stay(docs: DataFrame, grouped: DataFrame) -> DataFrame:
-    """One document of each root; grouped has doc_id, text_md5 and root of every document.
+    """One document of each root, as one_of_each says; grouped has doc_id, text_md5 and root of every document.
 
-    Of several rows with the smallest doc_id the one whose text has the smallest MD5 stays, and of rows that repeat in id
-    and text any one. Rows without a doc_id stay only if their whole component has none.
+    Only keys are gathered: those of the documents that go and those of rows that repeat. The texts are read once more and, where
+    such keys are few enough to broadcast, not shuffled.
     """
-    name = lambda doc, md5: F.struct(F.coalesce(doc.cast("string"), F.lit("")).alias("a"), md5.alias("b"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")
-    best = grouped.groupBy("root").agg(F.min(order).alias("m")).select(name(F.col("m.doc_id"), F.col("m.text_md5")).alias("_key"))
-    named = docs.withColumn("_key", name(F.col("doc_id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
-    return named.join(best, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5", "key")
+    each = grouped.withColumn("key", key_of(F.col("doc_id"), F.col("text_md5"))).groupBy("root", "doc_id", "text_md5", "key").agg(F.count(F.lit(1)).alias("n"))
+    best = each.groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.key").alias("key"), F.lit(True).alias("best"))
+    key = unused(docs, "key_")
+    marked = checkpointed(each.select("key", "n").join(best, "key", "left").where("best IS NULL OR n > 1").select(F.col("key").alias(key), F.col("best").isNotNull().alias("best_")))
+    touched = broadcast_if_few(marked.select(key))
+    named = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
+    kept = named.join(touched, key, "left_anti")
+    twice = checkpointed(marked.where("best_").select(key))
+    if not twice.isEmpty():
+        kept = kept.unionByName(named.join(broadcast_if_few(twice), key, "left_semi").dropDuplicates([key]))
+    return kept.drop(key)

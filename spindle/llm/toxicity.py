@@ -106,13 +106,13 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = 2000, batch: int = 6
     what many texts of a class share outweighs the words that single texts happen to have. One word in fifty decides a
     text, so the mean is scaled up before the softmax. Each step draws the length of every bucket's vector nearer to zero
     by `sparse` (a group lasso): buckets that tell nothing end near zero. After 5/8 of the passes over the texts (about
-    `steps` steps in all) the buckets with a vector shorter than `kept` of the longest go to zero and stay there, and the rest
+    `steps` steps in all, 8 to 100 passes) the buckets with a vector shorter than `kept` of the longest go to zero and stay there, and the rest
     are trained on, faster and without the pull. Buckets that no text has are zero.
     """
     index: dict[str, int] = {}
     docs = [np.unique(np.array([index.setdefault(w, len(index)) for w in words(t)] or [-1], np.int32), return_counts=True) for t in texts]
     docs = [(ids, np.sqrt(n)) for ids, n in docs]
-    passes = max(8, -(-steps * batch // max(1, len(docs))))
+    passes = min(100, max(8, -(-steps * batch // max(1, len(docs)))))
     epochs, again = 5 * passes // 8, passes - 5 * passes // 8
     often = np.zeros(len(index) + 1)
     for ids, n in docs:

@@ -5,10 +5,10 @@ import random
 import pytest
 
 import corpus_pipeline
-from spindle.llm import overlap
+from spindle.llm import simhash
 
 
-def kept(rows):
+def kept(rows, p=4, q=5):
     """The ids that stay, from (doc_id, text): the smallest of each component of pairs with a Jaccard of 0.8 or more."""
     sets = []
     for _, text in rows:
@@ -18,7 +18,7 @@ def kept(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if name[i] != name[j] and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+            if name[i] != name[j] and q * min(len(a), len(b)) >= p * max(len(a), len(b)) and q * len(a & b) >= p * len(a | b):
                 old, new = name[i], name[j]
                 name = [new if x == old else x for x in name]
     return sorted(min(r[0] for r, n in zip(rows, name) if n == g) for g in set(name))
@@ -43,7 +43,7 @@ def made(seed, groups, copies, words=120, changes=3):
 @pytest.mark.parametrize("groups,copies,changes", [(40, 4, 4), (3, 60, 4), (1, 80, 9)])
 def test_all_pairs(spark, groups, copies, changes):
     rows = made(groups, groups, copies, changes=changes)
-    got = overlap.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     assert sorted(r.doc_id for r in got.collect()) == kept(rows)
 
 
@@ -54,7 +54,21 @@ def test_stage_drops_near_copies_that_differ_in_many_bits(spark, sf):
 
 
 def test_odd_rows(odd, nothing):
-    got = overlap.one_of_each(odd)
+    got = simhash.one_of_each(odd)
     assert got.columns == odd.columns
     assert sorted(str(r.doc_id) for r in got.collect()) == sorted(["-8", "1", "4", "4", "6", "7", "None"])
-    assert overlap.one_of_each(nothing).count() == 0
+    assert simhash.one_of_each(nothing).count() == 0
+
+
+def test_other_similarities(spark):
+    rows = made(9, 12, 5, changes=14)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for similarity, p, q in ((0.5, 1, 2), (0.95, 19, 20)):
+        assert sorted(r.doc_id for r in simhash.one_of_each(docs, similarity=similarity).collect()) == kept(rows, p, q)
+
+
+def test_hot_sets_and_repeated_rows(spark):
+    """One text has over a thousand rows, some of them the same row."""
+    rows = [(i % 1200, "one text that a third of all rows have") for i in range(1500)] + [(5000 + i, f"text {i} of its own with words w{i} x{i} y{i}") for i in range(60)]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    assert sorted(r.doc_id for r in got.collect()) == [0, *range(5000, 5060)]

@@ -14,15 +14,20 @@ from spindle.llm import bpe, packing
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def check(docs, capacity=2048, per_packer=packing.PACKER):
-    rows = packing.pack(docs, bpe.default_path(), capacity, per_packer).collect()
+def pieces_of(docs, capacity=2048):
+    """What the pieces of documents must be, by the tokenizer itself."""
     expected = []
     for r in docs.select("doc_id", "text").collect():
         ids = TOKENIZER.encode(r.text or "", add_special_tokens=False).ids + [0]
         first = len(ids) % capacity or capacity
         cuts = [0, *range(first, len(ids) + 1, capacity)]
         expected += [(str(r.doc_id), k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-    assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(expected)
+    return sorted(expected)
+
+
+def check(docs, capacity=2048, per_packer=packing.PACKER):
+    rows = packing.pack(docs, bpe.default_path(), capacity, per_packer).collect()
+    assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in rows) == pieces_of(docs, capacity)
     ends = {}
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
         assert ends.get(r.sequence_id, 0) == r.offset

@@ -65,12 +65,29 @@ def test_links_keep_components_of_dense_and_chained_prints(spark):
     assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset(p for p in got if got[p] == r) for r in set(got.values())}
 
 
-def test_one_row_of_each_component_stays(odd, documents):
-    kept = simhash.one_of_each(odd)
-    assert kept.columns == odd.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["-8", "1", "4", "4", "6", "7", "None"])
-    found = simhash.near_duplicates(documents)
-    assert sorted(r.doc_id for r in simhash.one_of_each(documents).collect()) == sorted(r.doc_id for r in found.where("doc_id = component_id").collect())
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**8, 10**10)] == [6, 6, 7, 8]
+    for blocks in (6, 7, 8):
+        rng = random.Random(blocks)
+        for _ in range(200):
+            flips = sum(1 << b for b in rng.sample(range(64), 4))
+            assert any(flips & (m & (2**64 - 1)) == 0 for m in simhash.masks(4, blocks))
+
+
+def test_a_bucket_of_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        prints = sorted({(1 << 40) ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(20)})
+        edges = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"))
+        assert {r.root for r in simhash.components(edges).collect()} == {min(prints)} and simhash.components(edges).count() == len(prints)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_hot_fingerprints(spark):
+    docs = spark.createDataFrame([(i, "the same words for all of these" if i % 2 else f"other words {i}") for i in range(4000, 0, -1)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert len(got) == 4000 and {got[i] for i in range(1, 4000, 2)} == {1}
 
 
 def test_empty_table(nothing):
