@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm import bpe, decontamination, overlap, packing, quality, toxicity
+from spindle.llm import bpe, decontamination, packing, quality, simhash, toxicity
 from spindle.llm.common import checkpointed, table
 
 
@@ -28,8 +28,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, Jaccard of 0.8 or more): that with the smallest doc_id."""
-    return overlap.one_of_each(docs)
+    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more): that with the smallest doc_id."""
+    return simhash.one_of_each(docs, similarity=0.8, width=5)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL can't express the classifiers. Tests hold decontamination against plain Python and one_copy against brute force
-#: (test_overlap.py), but the two filter stages only against their own operators, and packing against itself and the ids.
+#: SQL can't express the classifiers, the fingerprints or the tokenizer. tests/llm/test_pipeline.py holds the filters against labels
+#: that training never saw, the near-duplicate and benchmark stages and the packed pieces against plain Python without Spark.
 ORACLE_SQL = None
 
 
