@@ -88,36 +88,45 @@ def licenses() -> str:
 
 
 def warc() -> str:
-    """Records of pages; regular expressions and digests as in the operator."""
-    from .warc import _BREAKS, _DROPPED, _LINK, _TAG, _TITLE, ENTITIES
+    """Records of pages, from the definitions: patterns of its own, and the standard table of named entities."""
+    from html.entities import html5
 
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     crlf = "chr(13) || chr(10)"
+    named = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+    table = f"MAP([{', '.join(map(quoted, named))}], [{', '.join(map(quoted, named.values()))}])"
+    entity = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
 
     def decoded(x: str) -> str:
-        for name, sign in ENTITIES:
-            x = f"replace({x}, {quoted(name)}, {quoted(sign)})"
-        return x
+        one = "CASE WHEN e[2] <> '#' THEN coalesce(entities[e[2:-2]], e) WHEN lower(e[3]) = 'x' THEN chr(('0x' || e[4:-2])::INTEGER) ELSE chr(e[3:-2]::INTEGER) END"
+        between = f"string_split_regex({x}, '{entity}')"
+        every = f"list_transform(regexp_extract_all({x}, '{entity}'), lambda e: {one})"
+        return f"replace(list_reduce(list_transform(list_zip({between}, list_append({every}, '')), lambda z: z[1] || coalesce(z[2], '')), lambda a, b: a || b), chr(160), ' ')"
 
     def swap(x: str, pattern: str, to: str) -> str:
         return f"regexp_replace({x}, {quoted(pattern)}, {to}, 'g')"
 
+    dropped = "(?is)" + "|".join(["<!--.*?(?:-->|\\z)", *(f"<{e}\\b.*?(?:</{e}\\s*>|\\z)" for e in ("script", "style", "title"))])
+    breaks = "(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|blockquote|pre|body|head|html)\\b[^>]*(?:>|\\z)"
     blank = "[ \\t\\r\\n]+"
-    text = swap(swap(swap(swap("body", _DROPPED, "' '"), blank, "' '"), _BREAKS, "chr(10)"), _TAG, "''")
-    text = swap(swap(swap(decoded(text), "[ \\t]+", "' '"), " ?\\n[ \\n]*", "chr(10)"), "^[ \\n]+|[ \\n]+$", "''")
-    title = f"trim({swap(decoded(f'regexp_extract(body, {quoted(_TITLE)}, 1)'), blank, quoted(' '))}, ' ')"
-    links = f"coalesce(array_to_string(list_transform(regexp_extract_all(body, {quoted(_LINK)}, 1), lambda x: 'outlink: ' || {decoded('x')} || ' A/@href' || {crlf}), ''), '')"
-    urn = lambda h: f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12) || '>'"
+    bare = swap(swap(swap(swap("body", dropped, "' '"), blank, "' '"), breaks, "chr(10)"), "<[/!?a-zA-Z][^>]*(?:>|\\z)", "''")
+    text = swap(swap(swap(decoded("bare"), "[ \\t]+", "' '"), " ?\\n[ \\n]*", "chr(10)"), "^[ \\n]+|[ \\n]+$", "''")
+    title = f"trim({swap(decoded('raw_title'), blank, quoted(' '))}, ' ')"
+    href = quoted("""(?i)<a\\b[^<>]*?\\bhref\\s*=\\s*["']([^"'<>]*)["']""")
+    links = f"coalesce(array_to_string(list_transform(regexp_extract_all(body, {href}, 1), lambda x: 'outlink: ' || x || ' A/@href' || {crlf}), ''), '')"
+    urn = lambda h: f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-3' || substr({h}, 14, 3) || '-' || substr('89ab', ('0x' || substr({h}, 17, 1))::INTEGER % 4 + 1, 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12) || '>'"
     return f"""
-    WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS body FROM pages),
-    r AS (
-      SELECT *, md5('response' || chr(10) || coalesce(page_id::VARCHAR, '') || chr(10) || target_uri || chr(10) || md5(body)) AS h, 'sha256:' || sha256(body) AS source_digest,
+    WITH p AS (
+      SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS body, {table} AS entities, regexp_extract(coalesce(html, ''), '(?is)<title\\b[^>]*(?:>|\\z)(.*?)(?:</title\\s*>|\\z)', 1) AS raw_title FROM pages
+    ), r AS (
+      SELECT *, {bare} AS bare, md5('response' || chr(10) || coalesce(page_id::VARCHAR, '') || chr(10) || target_uri || chr(10) || md5(body)) AS h, 'sha256:' || sha256(body) AS source_digest,
         'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(body) AS source_headers, 'text/html; charset=utf-8' AS source_type FROM p
-    ), n AS (SELECT *, {urn('h')} AS refers_to FROM r),
+    ), n AS (SELECT *, {urn('h')} AS refers_to, {links} AS raw_links FROM r),
     m AS (SELECT *, md5('metadata' || chr(10) || refers_to) AS hm, md5('conversion' || chr(10) || refers_to) AS hc FROM n),
     rows AS (
       SELECT *, 'metadata' AS record_type, {urn('hm')} AS record_id, {urn('hc')} AS concurrent_to, 'application/warc-fields' AS content_type,
-        'title: ' || {title} || {crlf} || 'source-content-type: ' || source_type || {crlf} || 'source-payload-digest: ' || source_digest || {crlf} || {links} AS block FROM m
+        'title: ' || {title} || {crlf} || 'source-content-type: ' || source_type || {crlf} || 'source-payload-digest: ' || source_digest || {crlf}
+          || 'source-header: ' || replace(source_headers, {crlf}, {crlf} || 'source-header: ') || {crlf} || {decoded('raw_links')} AS block FROM m
       UNION ALL
       SELECT *, 'conversion', {urn('hc')}, {urn('hm')}, 'text/plain; charset=utf-8', {text} FROM m
     )

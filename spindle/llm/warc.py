@@ -1,51 +1,65 @@
 """WARC derivatives: linked metadata and plain-text conversion records of responses, and WARC files in and out.
 
-A response is a row: record_id, target_uri, warc_date, block (the HTTP message: status line, headers, blank line, body).
-Its two derivatives name it in WARC-Refers-To and each other in WARC-Concurrent-To, and keep its headers and the digest of its
-body. All of it is expressions on one row: no shuffle and no Python, but for reading WARC files.
+A response is a row: record_id, target_uri, warc_date, block (the HTTP message as text or bytes: status line, headers, blank
+line, body). Its two derivatives name it in WARC-Refers-To and each other in WARC-Concurrent-To, and keep its headers and the
+digest of its body's bytes. Each row is worked out by itself: no shuffle, and time in proportion to its length.
 """
 
 from __future__ import annotations
 
 import gzip
+import hashlib
+import html
 import io
+import re
+import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
+# What has no end goes on to the end of the page, so each pattern reads a page once whatever it holds.
 #: Elements whose content is no text, then those that end a line, then any other tag; in this order.
-_DROPPED = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
-_BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|blockquote|pre|title|body|html)\b[^>]*>"
-_TAG = r"<[^>]*>"
-#: Entities that are decoded, & last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
-_TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-_LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"'>]*)["']"""
-_TYPE = r"(?im)^content-type:[ \t]*([^\r\n]*)"
+_DROPPED = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<script\b.*?(?:</script\s*>|\Z)|<style\b.*?(?:</style\s*>|\Z)|<title\b.*?(?:</title\s*>|\Z)")
+_BREAKS = re.compile(r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|blockquote|pre|body|head|html)\b[^>]*(?:>|\Z)")
+_TAG = re.compile(r"<[/!?a-zA-Z][^>]*(?:>|\Z)")
+_ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});")
+_TITLE = re.compile(r"(?is)<title\b[^>]*(?:>|\Z)(.*?)(?:</title\s*>|\Z)")
+_LINK = re.compile(r"""(?i)<a\b[^<>]*?\bhref\s*=\s*["']([^"'<>]*)["']""")
+_TYPE = re.compile(r"(?im)^content-type:[ \t]*([^\r\n]*)")
+_BLANKS, _SPACES, _LINES = re.compile("[ \t\r\n]+"), re.compile("[ \t]+"), re.compile(" ?\n[ \n]*")
 
 
-def _decoded(text: Column) -> Column:
-    for name, sign in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    return text
+def _decoded(text: str) -> str:
+    """The text with its named and numeric entities decoded, those that end in a semicolon; a no-break space is a blank."""
+    return (_ENTITY.sub(lambda m: html.unescape(m[0]), text) if "&" in text else text).replace("\xa0", " ")
 
 
-def plain_text(html: Column) -> Column:
-    """The text of a page: no scripts, styles, head, comments or tags; entities decoded; blank runs and lines closed up."""
-    lines = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(html, _DROPPED, " "), "[ \t\r\n]+", " "), _BREAKS, "\n"), _TAG, "")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(_decoded(lines), "[ \t]+", " "), " ?\n[ \n]*", "\n"), "^[ \n]+|[ \n]+$", "")
+def plain_text(page: str) -> str:
+    """The text of a page: no scripts, styles, title, comments or tags; entities decoded; blank runs and lines closed up.
+
+    A sign < that begins no tag is text. An element, comment or tag without an end goes on to the end of the page.
+    """
+    lines = _TAG.sub("", _BREAKS.sub("\n", _BLANKS.sub(" ", _DROPPED.sub(" ", page))))
+    return _LINES.sub("\n", _SPACES.sub(" ", _decoded(lines))).strip(" \n")
+
+
+def _urn(*parts: str) -> str:
+    """A urn:uuid (version 3 in form) of the MD5 of the parts: the same parts have the same id on every run."""
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(chr(10).join(parts).encode('utf-8', 'replace')).digest(), version=3)}>"
 
 
 def record_id(*parts: Column) -> Column:
-    """A urn:uuid of the MD5 of the parts: the same parts have the same id on every run."""
+    """The same as an expression."""
     h = F.md5(F.concat_ws("\n", *parts))
-    return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
+    variant = F.element_at(F.array(*map(F.lit, "89ab")), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1)
+    return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-3"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
-def digest(text: Column) -> Column:
-    return F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256))
+def _digest(data: bytes) -> str:
+    return "sha256:" + hashlib.sha256(data).hexdigest()
 
 
 def responses(pages: DataFrame, warc_date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -55,45 +69,61 @@ def responses(pages: DataFrame, warc_date: str = "2024-01-01T00:00:00Z") -> Data
     return pages.select(F.col("page_id"), record_id(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), url, F.md5(html)).alias("record_id"), url.alias("target_uri"), F.lit(warc_date).alias("warc_date"), F.concat(head, html).alias("block"))
 
 
+_COLUMNS = ("record_type", "record_id", "refers_to", "concurrent_to", "target_uri", "warc_date", "content_type", "content_length", "block_digest", "source_type", "source_headers", "source_digest", "block")
+
+
+def derived(record: str | None, uri: str | None, date: str | None, block: str | bytes | None) -> Iterator[tuple]:
+    """The metadata and the conversion record of one response, as _COLUMNS say."""
+    data = block.encode("utf-8", "replace") if isinstance(block, str) else block or b""
+    head, cut, body = data.partition(b"\r\n\r\n")
+    headers, payload = (head.decode("utf-8", "replace"), body) if cut else ("", data)
+    page, own = payload.decode("utf-8", "replace"), _digest(payload)
+    kind = m[1] if (m := _TYPE.search(headers)) else ""
+    title = _BLANKS.sub(" ", _decoded(m[1])).strip(" ") if (m := _TITLE.search(page)) else ""
+    about = [f"title: {title}", f"source-content-type: {kind}", f"source-payload-digest: {own}", *(f"source-header: {line}" for line in headers.split(CRLF) if headers), *(f"outlink: {_decoded(x)} A/@href" for x in _LINK.findall(page))]
+    names = (record,) if record is not None else ("", uri or "", date or "", hashlib.md5(data).hexdigest())
+    ids = [_urn(k, *names) for k in ("metadata", "conversion")]
+    for k, (which, what, text) in enumerate((("metadata", "application/warc-fields", "".join(x + CRLF for x in about)), ("conversion", "text/plain; charset=utf-8", plain_text(page)))):
+        raw = text.encode("utf-8", "replace")
+        yield which, ids[k], record, ids[1 - k], uri, date, what, len(raw), _digest(raw), kind, headers, own, raw.decode()
+
+
 def derivatives(frame: DataFrame, *keep: str) -> DataFrame:
     """Two rows for each response row: its metadata and its conversion record.
 
     Columns: those in keep, then record_type, record_id, refers_to, concurrent_to, target_uri, warc_date, content_type,
-    content_length (bytes), block_digest, source_type, source_headers, source_digest (of the body) and block. A null block
-    counts as empty, as does a body that is not there: its records have an empty text, title and list of links. Repeated
+    content_length (bytes), block_digest, source_type, source_headers, source_digest (of the body's bytes) and block. The metadata
+    block has the title, the source's type, digest and header lines, and the links. A null block counts as empty, as does a body
+    that is not there: its records have an empty text, title and list of links. Bytes that are no UTF-8 are replaced in texts,
+    not in source_digest. A null record_id stays null in refers_to; the ids of such records come from the rest of the row. Repeated
     rows give repeated records; an empty table gives none.
     """
-    block = F.coalesce(F.col("block").cast("string"), F.lit(""))
-    cut = F.instr(block, CRLF + CRLF)
-    base = frame.select(
-        *keep, "record_id", "target_uri", "warc_date",
-        F.when(cut > 0, F.substring(block, F.lit(1), cut - 1)).otherwise(F.lit("")).alias("headers"),
-        F.when(cut > 0, F.substring(block, cut + 4, F.length(block))).otherwise(block).alias("body"),
-    )
-    base = base.withColumn("source_digest", digest(F.col("body"))).withColumn("source_type", F.regexp_extract("headers", _TYPE, 1))
-    title = F.trim(F.regexp_replace(_decoded(F.regexp_extract("body", _TITLE, 1)), "[ \t\r\n]+", " "))
-    links = F.transform(F.regexp_extract_all("body", F.lit(_LINK), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), _decoded(x), F.lit(" A/@href" + CRLF)))
-    about = F.concat(F.lit("title: "), title, F.lit(f"{CRLF}source-content-type: "), F.col("source_type"), F.lit(f"{CRLF}source-payload-digest: "), F.col("source_digest"), F.lit(CRLF), F.array_join(links, ""))
-    ids = {k: record_id(F.lit(k), F.col("record_id")) for k in ("metadata", "conversion")}
-    made = [
-        F.struct(F.lit(k).alias("record_type"), ids[k].alias("record_id"), ids[other].alias("concurrent_to"), F.lit(kind).alias("content_type"), text.alias("block"))
-        for k, other, kind, text in (("metadata", "conversion", "application/warc-fields", about), ("conversion", "metadata", "text/plain; charset=utf-8", plain_text(F.col("body"))))
-    ]
-    rows = base.select(*keep, F.col("record_id").alias("refers_to"), "target_uri", "warc_date", F.col("headers").alias("source_headers"), "source_type", "source_digest", F.explode(F.array(*made)).alias("r"))
-    return rows.select(
-        *keep, "r.record_type", "r.record_id", "refers_to", "r.concurrent_to", "target_uri", "warc_date", "r.content_type", F.octet_length("r.block").cast("long").alias("content_length"), digest(F.col("r.block")).alias("block_digest"), "source_type", "source_headers", "source_digest", "r.block",
-    )
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                rows = [r for given in zip(*(part.column(i).to_pylist() for i in range(len(keep), len(keep) + 4))) for r in derived(*given)]
+                twice = pa.array([i // 2 for i in range(2 * part.num_rows)], pa.int32())
+                made = [pa.array(c, pa.int64() if n == "content_length" else pa.string()) for n, c in zip(_COLUMNS, zip(*rows))]
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(twice) for i in range(len(keep))), *made], [*keep, *_COLUMNS])
+
+    block = F.col("block") if frame.schema["block"].dataType.typeName() == "binary" else F.col("block").cast("string").alias("block")
+    read = frame.select(*keep, *(F.col(c).cast("string").alias(c) for c in ("record_id", "target_uri", "warc_date")), block)
+    shape = [f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[: len(keep)]]
+    return read.mapInArrow(each, ", ".join([*shape, *(f"{c} {'long' if c == 'content_length' else 'string'}" for c in _COLUMNS)]))
 
 
 def as_text(records: DataFrame) -> Column:
-    """One derivative record as it stands in a WARC file, without the last line feed."""
-    lines = [("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Payload-Digest", "source_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")]
-    head = [F.concat(F.lit(f"{name}: "), records[c].cast("string"), F.lit(CRLF)) for name, c in lines]
-    return F.concat(F.lit("WARC/1.1" + CRLF), *head, F.lit(CRLF), records["block"], F.lit("\r\n\r"))
+    """One derivative record as it stands in a WARC file, without the last line feed; a header that is null is left out."""
+    lines = [("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Payload-Digest", "source_digest"), ("Content-Type", "content_type")]
+    block = F.coalesce(records["block"], F.lit(""))
+    head = [F.coalesce(F.concat(F.lit(f"{name}: "), records[c].cast("string"), F.lit(CRLF)), F.lit("")) for name, c in lines]
+    return F.concat(F.lit("WARC/1.1" + CRLF), *head, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF), block, F.lit("\r\n\r"))
 
 
 def write(records: DataFrame, path: str) -> None:
-    """Writes derivative records as gzipped WARC files, one for each partition."""
+    """Writes derivative records as gzipped WARC files, one for each partition (a member of gzip is a file, not a record)."""
     records.select(as_text(records).alias("value")).write.option("compression", "gzip").option("lineSep", "\n").text(path)
 
 
@@ -111,17 +141,25 @@ def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files: record_type, record_id, refers_to, target_uri, warc_date, content_type, block (UTF-8, replaced where
-    it is not). A file is read whole by one task; files are cut at about a gigabyte by those who write them."""
+    """Records of WARC files: record_type, record_id, refers_to, target_uri, warc_date, content_type, block (bytes as they are).
+    A file is read by one task, which gives its records in lots; files are cut at about a gigabyte by those who write them."""
     names = {"record_type": "warc-type", "record_id": "warc-record-id", "refers_to": "warc-refers-to", "target_uri": "warc-target-uri", "warc_date": "warc-date", "content_type": "content-type"}
+    kinds = [*[pa.string()] * len(names), pa.binary()]
 
-    def rows(batches):
-        import pandas as pd
+    def lot(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [*names, "block"])
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch["content"]:
-                got = [{**{c: h.get(n) for c, n in names.items()}, "block": b.decode("utf-8", "replace")} for h, b in parsed(data)]
-                yield pd.DataFrame(got, columns=[*names, "block"])
+            for data in batch.column(0):
+                rows: list[tuple] = []
+                for headers, block in parsed(data.as_py()):
+                    rows.append((*map(headers.get, names.values()), block))
+                    if len(rows) == 256:
+                        yield lot(rows)
+                        rows = []
+                if rows:
+                    yield lot(rows)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(rows, ", ".join(f"{c} string" for c in [*names, "block"]))
+    return files.mapInArrow(each, ", ".join(f"{c} string" for c in names) + ", block binary")

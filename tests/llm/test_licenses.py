@@ -40,7 +40,7 @@ def test_documents_and_odd_rows(documents, odd, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
-def test_notices(spark):
+def test_notices(spark, tmp_path):
     filler = " ".join(f"w{i}" for i in range(licenses.STRETCH - 3))
     texts = [
         "Released under the MIT License.", "Licensed under CC BY-NC 4.0", "GNU GENERAL PUBLIC LICENSE, Version 3 and the gnu general public license", "Der Text mit Lizenz, cc: by mail", "Apache License Apache-License apache licence 2.0",
@@ -48,8 +48,8 @@ def test_notices(spark):
     ]
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     check(docs)
-    docs.write.mode("overwrite").parquet("/tmp/spindle_licence_test/documents.parquet")
-    rows = {r.doc_id: r for r in registry.op2_licenses(spark, "/tmp/spindle_licence_test").collect()}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in registry.op2_licenses(spark, str(tmp_path)).collect()}
     assert (rows[0].base_labels, rows[0].labels, rows[0].first_word) == ("mit", "mit", 3)
     assert (rows[1].base_labels, rows[1].labels) == ("cc-by", "cc-by,cc-by-nc-4.0")
     assert (rows[2].n_base, rows[2].first_word, rows[2].last_word) == (2, 0, 8) and "gpl-3.0" in rows[2].labels
