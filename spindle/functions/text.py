@@ -58,8 +58,3 @@ def classify(surface: Column) -> Column:
         .when(digit & (ascii_ | marked), F.when(surface.rlike(UNIT), "NUMERIC_UNIT").otherwise("ALNUM_CODE"))
         .when(digit, "NUMERIC_UNIT").when(marked, "WORD_DIACRITIC").when(ascii_, "WORD_LATIN").otherwise("OTHER")
     )
-
-
-def is_stopword(lower: Column, kind: Column) -> Column:
-    """Whether the list of the language that claims the token's class has it; accents count."""
-    return ((kind == "WORD_DIACRITIC") & lower.isin(*VIETNAMESE_STOPWORDS)) | ((kind == "WORD_LATIN") & lower.isin(*ENGLISH_STOPWORDS))

@@ -10,6 +10,8 @@ import hashlib
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,13 +33,17 @@ def _no_variants() -> Column:
 
 @dataclass(frozen=True)
 class Pack:
-    """A language or code pack: which classes it claims and what it makes of a token (struct lower, class, vi, latin)."""
+    """A language or code pack: which classes it claims, what it makes of a token (struct lower, class, vi, latin), and which
+    lower-cased words it holds for stopwords; `bigrams` lets pairs of tokens that it claims be phrases."""
 
     id: str
     priority: int
     classes: tuple[str, ...] | None
     signature: str
     variants: Callable[[Column, str], Column]
+    stopwords: tuple[str, ...] = ()
+    bigrams: bool = False
+    makes: bool = True  # a pack of stopwords alone makes no terms
 
     def claims(self, kind: Column) -> Column:
         return F.lit(True) if self.classes is None else kind.isin(*self.classes)
@@ -65,11 +71,11 @@ def _folded(name: str) -> Callable[[Column, str], Column]:
 
 
 def vietnamese_pack() -> Pack:
-    return Pack("vi", 20, ("WORD_DIACRITIC",), f"vi-1:{FOLDER_VERSION}:sw{len(T.VIETNAMESE_STOPWORDS)}", _folded("vi"))
+    return Pack("vi", 20, ("WORD_DIACRITIC",), f"vi-1:{FOLDER_VERSION}:sw{len(T.VIETNAMESE_STOPWORDS)}", _folded("vi"), T.VIETNAMESE_STOPWORDS, bigrams=True)
 
 
 def english_pack(stem: bool = False) -> Pack:
-    return Pack("en", 30, ("WORD_LATIN",), f"en-1:stem={int(stem)}", lambda t, _: _no_variants())
+    return Pack("en", 30, ("WORD_LATIN",), f"en-1:stem={int(stem)}", lambda t, _: _no_variants(), T.ENGLISH_STOPWORDS, makes=False)
 
 
 def generic_pack() -> Pack:
@@ -91,12 +97,19 @@ class AnalyzerConfig:
         return hashlib.sha256(json.dumps(shape, ensure_ascii=False, separators=(",", ":")).replace("/", "\\/").encode()).hexdigest()[:16]
 
 
-def tokens(text: Column) -> Column:
+    def is_stopword(self, lower: Column, kind: Column) -> Column:
+        """Whether a pack that claims the token's class lists it; accents count."""
+        listed = [p.claims(kind) & lower.isin(*p.stopwords) for p in self.packs if p.stopwords]
+        return reduce(or_, listed) if listed else F.lit(False)
+
+
+def tokens(text: Column, config: AnalyzerConfig | None = None) -> Column:
     """array<struct<pos, surface, class, lower, is_stopword, vi, latin>> of a text."""
+    config = config or AnalyzerConfig()
 
     def token(s: Column, i: Column) -> Column:
         kind, lower = T.classify(s), F.lower(s)
-        return F.struct(i.alias("pos"), s.alias("surface"), kind.alias("class"), lower.alias("lower"), T.is_stopword(lower, kind).alias("is_stopword"), T.fold_vietnamese(s).alias("vi"), T.fold_latin(s).alias("latin"))
+        return F.struct(i.alias("pos"), s.alias("surface"), kind.alias("class"), lower.alias("lower"), config.is_stopword(lower, kind).alias("is_stopword"), T.fold_vietnamese(s).alias("vi"), T.fold_latin(s).alias("latin"))
 
     return F.transform(T.surfaces(text), token)
 
@@ -110,22 +123,25 @@ def postings(tokens_: Column, mode: str, config: AnalyzerConfig) -> Column:
         for pack in config.ordered():
             new = F.when(pack.claims(t["class"]), pack.variants(t, mode)).otherwise(_no_variants())
             have = made
-            made = F.concat(have, F.filter(new, lambda n: ~F.exists(have, lambda h: (h["field"] == n["field"]) & (h["term"] == n["term"])))) if pack.id != "en" else have
+            made = F.concat(have, F.filter(new, lambda n: ~F.exists(have, lambda h: (h["field"] == n["field"]) & (h["term"] == n["term"])))) if pack.makes else have
         kept = F.filter(made, lambda v: (v["term"] != "") & ~((v["field"] == "text") & t["is_stopword"] & content))
         return F.transform(kept, lambda v, k: F.struct(t["pos"].alias("pos"), k.alias("ord"), v["term"].alias("term"), v["field"].alias("field"), v["kind"].alias("kind")))
 
     found = F.flatten(F.transform(tokens_, of_token))
-    if not config.bigrams or not any(p.id == "vi" for p in config.packs):
+    pairing = [p for p in config.packs if p.bigrams]
+    if not config.bigrams or not pairing:
         return found
+    claimed = lambda t: reduce(or_, [p.claims(t["class"]) for p in pairing])
     steps = F.when(F.size(tokens_) > 1, F.sequence(F.lit(0), F.size(tokens_) - 2)).otherwise(F.array().cast("array<int>"))
-    both = F.filter(steps, lambda i: (F.get(tokens_, i)["class"] == "WORD_DIACRITIC") & (F.get(tokens_, i + 1)["class"] == "WORD_DIACRITIC"))
+    both = F.filter(steps, lambda i: claimed(F.get(tokens_, i)) & claimed(F.get(tokens_, i + 1)))
     pairs = F.transform(both, lambda i: F.struct(F.get(tokens_, i)["pos"].alias("pos"), F.lit(1_000_000).alias("ord"), F.concat(F.get(tokens_, i)["vi"], F.lit("_"), F.get(tokens_, i + 1)["vi"]).alias("term"), F.lit("phrase").alias("field"), F.lit("bigram").alias("kind")))
     return F.concat(found, pairs)
 
 
 def analyze(frame: DataFrame, text: str, mode: str = "index", config: AnalyzerConfig | None = None) -> DataFrame:
     """The frame with columns `tokens` and `postings` of its text column."""
-    return frame.withColumn("tokens", tokens(F.col(text))).withColumn("postings", postings(F.col("tokens"), mode, config or AnalyzerConfig()))
+    config = config or AnalyzerConfig()
+    return frame.withColumn("tokens", tokens(F.col(text), config)).withColumn("postings", postings(F.col("tokens"), mode, config))
 
 
 def exploded(frame: DataFrame, array: str, *keep: str) -> DataFrame:
@@ -134,9 +150,10 @@ def exploded(frame: DataFrame, array: str, *keep: str) -> DataFrame:
     return frame.select(*keep, F.explode_outer(array).alias("p")).where(F.col("p").isNotNull())
 
 
-def canonical(tokens_: Column) -> Column:
-    """One term for each position: the first fold, else the lower-cased token; stopwords dropped unless all are."""
+def canonical(tokens_: Column, config: AnalyzerConfig | None = None) -> Column:
+    """One term for each position: the first text term that a pack makes, else the lower-cased token; stopwords dropped unless all are."""
+    packs = [p for p in (config or AnalyzerConfig()).ordered() if p.makes]
     content = F.exists(tokens_, lambda t: ~t["is_stopword"])
     kept = F.filter(tokens_, lambda t: ~(t["is_stopword"] & content))
-    fold = lambda t: F.when((t["class"] == "WORD_DIACRITIC") & (t["vi"] != "") & (t["vi"] != t["lower"]), t["vi"]).when((t["latin"] != "") & (t["latin"] != t["lower"]), t["latin"]).otherwise(t["lower"])
-    return F.transform(kept, fold)
+    made = lambda p, t: F.when(p.claims(t["class"]), F.get(F.filter(p.variants(t, "query"), lambda v: v["field"] == "text"), F.lit(0))["term"])
+    return F.transform(kept, lambda t: F.coalesce(*[made(p, t) for p in packs], t["lower"]))

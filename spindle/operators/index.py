@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .analysis import AnalyzerConfig, analyze, exploded
@@ -25,8 +25,12 @@ class Index:
     index_docs: DataFrame
 
     def checkpointed(self) -> "Index":
-        """The index with its tables written once, as a published one is; a query reads them several times."""
-        return Index(*(checkpointed(t) for t in (self.postings, self.doc_zones, self.index_docs)))
+        """The index with its tables written once, as a published one is; a query reads them several times.
+
+        doc_zones comes from the postings that were written, not from another pass over the texts.
+        """
+        postings = checkpointed(self.postings)
+        return Index(postings, checkpointed(zones_of(postings)), checkpointed(self.index_docs))
 
     def without(self, ids: DataFrame) -> "Index":
         """The index without the documents of ids (column doc_id)."""
@@ -66,33 +70,51 @@ class Index:
 
     def vocabulary(self, first_chars: Column | list[str], limit: int, min_freq: int = 2) -> DataFrame:
         """first, term, df, place of the `limit` most frequent terms by first character, ties by term; case counts."""
-        from pyspark.sql import Window
-
         named = self.document_frequencies().withColumn("first", F.substring("term", 1, 1)).where(F.col("df") >= min_freq)
         named = named.where(F.col("first").isin(first_chars) if isinstance(first_chars, list) else first_chars)
         order = Window.partitionBy("first").orderBy(F.col("df").desc(), "term")
         return named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
 
+def zones_of(postings: DataFrame) -> DataFrame:
+    """doc_id, zone, len: every zone with a length has a posting that carries it."""
+    return postings.select("doc_id", "zone", "len").distinct()
+
+
+def _analyzed(docs: DataFrame, config: EngineConfig, analyzer: AnalyzerConfig | None) -> DataFrame:
+    """doc_id, all (array<struct<zone, term, field_idx, pos, kw>>) of the fields of documents (doc_id, fields)."""
+    field_shape = "array<struct<zone:string,text:string>>"
+    fields = docs.select("doc_id", F.posexplode(F.col("fields").cast(field_shape)).alias("field_idx", "f")).select("doc_id", "field_idx", F.col("f.zone").alias("src"), F.col("f.text").alias("text"))
+
+    def entry(p: Column) -> Column:
+        zone = F.when(p["field"] == "text", F.col("src")).otherwise(p["field"])
+        return F.struct(zone.alias("zone"), p["term"].alias("term"), F.col("field_idx").alias("field_idx"), p["pos"].alias("pos"), config.kind_weight(p["kind"]).alias("kw"))
+
+    return analyze(fields, "text", "index", analyzer).select("doc_id", F.transform("postings", entry).alias("all"))
+
+
 def analyzed_fields(docs: DataFrame, config: EngineConfig | None = None, analyzer: AnalyzerConfig | None = None) -> DataFrame:
-    """One row for each posting of documents (doc_id, fields array<struct<zone, text>>): doc_id, field_idx, pos, zone, term, kw.
+    """One row for each posting of documents (doc_id, fields array<struct<zone, text>>): doc_id, zone, term, field_idx, pos, kw.
 
     Text terms stay in the field's zone; code and phrase terms go to the zones of those names, shared by all fields.
     """
-    config = config or EngineConfig()
-    fields = docs.select("doc_id", F.posexplode("fields").alias("field_idx", "f")).select("doc_id", "field_idx", F.col("f.zone").alias("src"), F.col("f.text").alias("text"))
-    rows = exploded(analyze(fields, "text", "index", analyzer), "postings", "doc_id", "field_idx", "src")
-    zone = F.when(F.col("p.field") == "text", F.col("src")).otherwise(F.col("p.field"))
-    return rows.select("doc_id", "field_idx", F.col("p.pos").alias("pos"), zone.alias("zone"), F.col("p.term").alias("term"), config.kind_weight(F.col("p.kind")).alias("kw"))
+    return exploded(_analyzed(docs, config or EngineConfig(), analyzer), "all", "doc_id").select("doc_id", "p.*")
 
 
 def build(docs: DataFrame, config: EngineConfig | None = None, analyzer: AnalyzerConfig | None = None) -> Index:
-    """The index of documents (doc_id, fields). A document without any term still counts.
+    """The index of documents (doc_id, fields). A document without any term still counts; rows that share an id are one document.
 
-    The raw texts are dealt by doc_id once; every aggregate below holds doc_id in its keys and needs no shuffle more.
+    The raw texts are dealt by doc_id once and analysed once: zone lengths are counted in the document's row, and each posting
+    takes its own along. Every aggregate has doc_id in its keys and needs no shuffle more; doc_zones is read off the postings.
     """
-    dealt = docs.select("doc_id", "fields").repartition("doc_id")
-    each = analyzed_fields(dealt, config, analyzer).groupBy("doc_id", "zone", "term", "field_idx", "pos").agg(F.max("kw").alias("kw"))
-    terms = each.groupBy("doc_id", "zone", "term").agg(F.max("kw").alias("kw"), F.count(F.lit(1)).cast("int").alias("tf"))
-    lengths = each.groupBy("doc_id", "zone", "field_idx", "pos").agg(F.lit(1)).groupBy("doc_id", "zone").agg(F.count(F.lit(1)).cast("int").alias("len"))
-    return Index(terms.join(lengths, ["doc_id", "zone"]).select("doc_id", "term", "zone", "kw", "tf", "len"), lengths, docs.select("doc_id").distinct())
+    rows = _analyzed(docs.select("doc_id", "fields").repartition("doc_id"), config or EngineConfig(), analyzer)
+    whole = rows.groupBy("doc_id").agg(F.flatten(F.collect_list("all")).alias("all"))
+    place = lambda p: F.shiftleft(p["field_idx"].cast("long"), 40) + p["pos"]
+    zones = F.array_distinct(F.transform("all", lambda p: p["zone"]))
+    length = lambda z: F.size(F.array_distinct(F.transform(F.filter("all", lambda p: p["zone"] == z), place)))
+    sized = whole.withColumn("zones", zones).withColumn("lens", F.transform("zones", length))
+    each = exploded(sized, "all", "doc_id", "zones", "lens").select("doc_id", "p.zone", "p.term", place(F.col("p")).alias("place"), "p.kw", F.get("lens", F.array_position("zones", F.col("p.zone")).cast("int") - 1).alias("len"))
+    once = each.groupBy("doc_id", "zone", "term", "place").agg(F.max("kw").alias("kw"), F.first("len").alias("len"))
+    terms = once.groupBy("doc_id", "zone", "term").agg(F.max("kw").alias("kw"), F.count(F.lit(1)).cast("int").alias("tf"), F.first("len").alias("len"))
+    postings = terms.select("doc_id", "term", "zone", "kw", "tf", "len")
+    return Index(postings, zones_of(postings), docs.select("doc_id").distinct())

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .analysis import AnalyzerConfig, canonical, tokens
-from .config import POOL, STRENGTHS
+from .config import POOL, STRENGTHS, Settings
 from .scoring import TIES, broadcast_if_few
 from .tables import checkpointed
 
@@ -78,10 +78,10 @@ class ExactTitle:
     pool: int = POOL
 
     def __call__(self, scores: DataFrame, queries: DataFrame) -> DataFrame:
-        asked = broadcast_if_few(checkpointed(queries.select("query_id", canonical(tokens(F.col("effective"))).alias("q"))))
+        asked = broadcast_if_few(checkpointed(queries.select("query_id", canonical(tokens(F.col("effective"), self.analyzer), self.analyzer).alias("q"))))
         named = self.titles.select("doc_id", F.when(F.col("title") != "", F.col("title")).alias("title"))
         rows = scores.join(named, "doc_id", "left").join(asked, "query_id", "left")
-        rows = rows.withColumn("t", F.when(F.col("rank") <= self.pool, canonical(tokens(F.col("title")))))
+        rows = rows.withColumn("t", F.when(F.col("rank") <= self.pool, canonical(tokens(F.col("title"), self.analyzer), self.analyzer)))
         n, h = F.size("q"), F.size("t")
         starts = F.when(h >= n, F.sequence(F.lit(1), h - n + 1)).otherwise(F.array().cast("array<int>"))
         run = F.exists(starts, lambda i: F.slice("t", i, n) == F.col("q"))
@@ -96,6 +96,13 @@ class ExactTitle:
         return rows.withColumn("rank", F.row_number().over(order)).select("query_id", "doc_id", "score", "rank")
 
 
-def shipped(titles: DataFrame, dates: DataFrame, as_of: int, mode: str = "medium", halflife_days: int = 180) -> Callable[[DataFrame, DataFrame], DataFrame]:
+def shipped(titles: DataFrame, dates: DataFrame, as_of: int, mode: str = "medium", halflife_days: int = 180, analyzer: AnalyzerConfig | None = None) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """The default chain: freshness, then exact titles."""
-    return chain(Recency(dates, as_of, mode, halflife_days), ExactTitle(titles))
+    return chain(Recency(dates, as_of, mode, halflife_days), ExactTitle(titles, analyzer))
+
+
+def of_settings(settings: Settings, titles: DataFrame, posts: DataFrame, as_of: int, analyzer: AnalyzerConfig | None = None) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """The default chain as a site's settings have it; posts have doc_id, created_gmt and modified_gmt."""
+    from ..sources.catalog import timestamps
+
+    return shipped(titles, timestamps(posts, settings.recency_basis), as_of, settings.recency_mode, settings.recency_halflife, analyzer)

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """The frame written to the shared checkpoint folder, its lineage and plan cut.
+def shared_folder(session: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where that is unset, a local session gets a temporary one, any other an error: a
+    folder of one machine is lost with it."""
+    where = session.conf.get("spark.checkpoint.dir", None)
+    if where is None and not re.fullmatch(r"local(\[[^\]]*\])?", session.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return (where or tempfile.mkdtemp(prefix="checkpoints-")).rstrip("/")
+
 
-    The folder is spark.checkpoint.dir; one of the driver's own is set only where that is unset (local runs).
-    """
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """The frame written to the shared checkpoint folder, its lineage and plan cut."""
     session = frame.sparkSession
     if session.sparkContext.getCheckpointDir() is None:
-        session.sparkContext.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        session.sparkContext.setCheckpointDir(shared_folder(session))
     return frame.checkpoint(eager=True)

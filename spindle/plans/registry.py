@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
+from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from ..functions import distance as D
 from ..functions import text as T
 from ..operators import analysis, maintenance, rerank, scoring, typo
 from ..operators import index as ix
+from ..operators.config import EngineConfig, Settings
+from ..operators.tables import shared_folder
 from ..sources import catalog
 from ..sources.store import Store
 from ..streaming import sync
@@ -21,6 +24,7 @@ from .engine import SearchEngine, like_baseline
 AS_OF = 1_009_843_200  # 2002-01-01, after the last shipping date
 PART_QUERIES = [(1, "red widget"), (2, "small bolt 17"), (3, "hot the gear"), (4, "promo ring"), (5, "brand 2"), (6, "widget widget"), (7, "large economy plate"), (8, ""), (9, "zzz qqq"), (10, "Blue ROD Brand#12")]
 TYPO_QUERIES = [(1, "red wigdet"), (2, "smal blot"), (3, "hott gera"), (4, "brnd 17"), (5, "gizmoo ring"), (6, "red widget"), (7, "xq99 ring"), (8, "prmo ringg")]
+POOL_QUERIES = [(1, "brand red ring"), (2, "brand small bolt")]
 CORPUS_QUERIES = [(1, "the idiot"), (2, "apache license"), (3, "qui eaux"), (4, "les és de"), (5, "für die"), (6, "MIT 2.0")]
 
 
@@ -220,12 +224,104 @@ def upsert_equals_rebuild(spark, sf_dir):
     return index.postings.select("doc_id", "term", "zone", "kw", "tf")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder for a store, under the shared one."""
+    return f"{shared_folder(spark)}/{uuid4().hex}"
+
+
+def _pooled(make, limit=700):
+    """All matches of any word, more than the pool holds, through a re-ranker; ranks on both sides of the pool's end."""
+
+    def run(spark, sf_dir):
+        asked = _asked(spark, POOL_QUERIES)
+        scores = scoring.score(_parts(spark, sf_dir), scoring.query_terms(asked), every_word=False)
+        return scoring.cut(make(catalog.part_attributes(spark, sf_dir))(scores, asked.withColumnRenamed("q", "effective")), limit)
+
+    return run
+
+
+def typo_gate_off(spark, sf_dir):
+    """No suggestions for an index with more documents than the gate lets through."""
+    return SearchEngine(_parts(spark, sf_dir), EngineConfig(typo_max_docs=10)).did_you_mean(_asked(spark, TYPO_QUERIES))
+
+
+def typo_rerank_chain(spark, sf_dir):
+    """Corrected queries through the shipped chain: titles are matched with the corrected words."""
+    attributes = catalog.part_attributes(spark, sf_dir)
+    return SearchEngine(_parts(spark, sf_dir), reranker=rerank.shipped(attributes, attributes, AS_OF)).query(_asked(spark, TYPO_QUERIES), 20)
+
+
+def bm25f_weights(spark, sf_dir):
+    """A search with weights, k1 and b of its own."""
+    config = EngineConfig(zone_weights={"title": 2.0, "attr": 5.0}, k1=0.9, b=0.4)
+    return scoring.cut(scoring.score(_parts(spark, sf_dir), scoring.query_terms(_asked(spark, PART_QUERIES)), config), 20)
+
+
+def packs_without_stopwords(spark, sf_dir):
+    """Terms of the documents where only the code and generic packs are in use: no word is a stopword."""
+    config = analysis.AnalyzerConfig((analysis.code_pack(), analysis.generic_pack()), bigrams=False)
+    rows = analysis.exploded(analysis.analyze(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "query", config), "postings").where("p.field = 'text'")
+    return rows.groupBy(F.col("p.term").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def pack_with_stopwords(spark, sf_dir):
+    """Tokens of part names that a pack of its own calls stopwords."""
+    own = analysis.Pack("colours", 15, ("WORD_LATIN",), "colours-1", lambda t, _: analysis._no_variants(), ("red", "blue", "the"), makes=False)
+    config = analysis.AnalyzerConfig((own, analysis.generic_pack()))
+    rows = analysis.exploded(_table(spark, sf_dir, "part").select("p_partkey", analysis.tokens(F.col("p_name"), config).alias("tokens")), "tokens", "p_partkey")
+    return rows.groupBy("p_partkey").agg(F.sum(F.col("p.is_stopword").cast("long")).alias("n_stopwords"))
+
+
+def _changes(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("doc_id"), F.unix_timestamp("ts").alias("ts"), "event_type", "event_id")
+
+
+def captured_changes(spark, sf_dir):
+    """Events that enter the queue: purchases stand for stock changes, the rest counts for some types and no revisions."""
+    kind = F.when(F.col("event_type") == "purchase", "stock").otherwise("save")
+    events = _changes(spark, sf_dir).select("doc_id", kind.alias("kind"), F.when(F.col("event_id") % 3 == 0, "note").otherwise("product").alias("post_type"), (F.col("event_id") % 4 == 0).alias("is_revision"))
+    return sync.captured(events, ("product", "post")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def drain_oldest(spark, sf_dir):
+    """The 50 ids that wait longest: a report by rank, as a drain with a limit takes them."""
+    return sync.oldest(_changes(spark, sf_dir), 50)
+
+
+def backlog(spark, sf_dir):
+    pending = sync.pending(_changes(spark, sf_dir))
+    row = (pending, maintenance.is_stalled(pending, AS_OF - 601, AS_OF), maintenance.is_stalled(pending, AS_OF - 600, AS_OF), maintenance.is_stalled(0, 0, AS_OF))
+    return spark.createDataFrame([row], "pending long, stalled boolean, in_time boolean, nothing_waits boolean")
+
+
+def index_status(spark, sf_dir):
+    """The status record of a store: published twice, flushed, and published again without a third of the parts."""
+    store, docs = Store(spark, _folder(spark)), catalog.parts(spark, sf_dir)
+    few = ix.build(docs.where("doc_id % 3 <> 0")).checkpointed()
+    out = [store.status(docs).withColumn("step", F.lit("new"))]
+    store.publish(few, built_at=7)
+    out.append(store.status(docs).withColumn("step", F.lit("published")))
+    store.flush()
+    out.append(store.status(docs).withColumn("step", F.lit("flushed")))
+    store.publish(few, analysis.AnalyzerConfig(bigrams=False), built_at=8)
+    store.expire(keep=1)
+    out.append(store.status(docs).withColumn("step", F.lit("other analyzer")))
+    store.drop()
+    out.append(store.status(docs).withColumn("step", F.lit("dropped")))
+    return reduce(DataFrame.unionByName, out).select("step", "version", "built_at", "stale", "active", "docs", "source_docs")
+
+
+def settings_chain(spark, sf_dir):
+    """The shipped chain as sanitized settings have it: dates of the last change, strong, a half-life of 30 days."""
+    settings = Settings.sanitized({"enabled": "1", "recency_mode": "strong", "recency_basis": "modified", "recency_halflife": "30"})
+    attributes = catalog.part_attributes(spark, sf_dir, "modified")
+    posts = attributes.select("doc_id", F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd HH:mm:ss").alias("modified_gmt"))
+    return SearchEngine(_parts(spark, sf_dir), reranker=rerank.of_settings(settings, attributes, posts, AS_OF)).query(_asked(spark, PART_QUERIES), 50)
+
+
 def stream_sync_final(spark, sf_dir):
     """Index after the change feed drained: every fifth user of the events is a changed part, every tenth part is gone."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sync-")
-    from uuid import uuid4
-
-    where = f"{base.rstrip('/')}/{uuid4().hex}"
+    where = _folder(spark)
     docs = catalog.parts(spark, sf_dir)
     store = Store(spark, f"{where}/index")
     store.publish(ix.build(docs.withColumn("fields", F.slice("fields", 1, 1))))
@@ -275,12 +371,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         tokenize_documents, classify_tokens, fold_terms, stopword_share, code_variants_part, phrase_bigrams, analyze_queries, postings_part, postings_documents, zone_lengths_part, corpus_stats, term_df, vocabulary_prefix,
         typo_corrections, did_you_mean, typo_search, edit_distances, rest_search, site_search, catalog_docs, strip_pages, candidate_scan, timestamps, like_search, reconcile_orphans, reconcile_missing, reconciled_postings,
-        zone_status, upsert_equals_rebuild, stream_sync_final, analyzer_hash,
+        zone_status, upsert_equals_rebuild, stream_sync_final, analyzer_hash, typo_gate_off, typo_rerank_chain, bm25f_weights, packs_without_stopwords, pack_with_stopwords, captured_changes, drain_oldest, backlog,
+        index_status, settings_chain,
     )
     out = {"search_flagship": flagship} | {f.__name__: f for f in plain} | {name: _query(**o) for name, o in _SEARCHES.items()}
     out |= {f"recency_{m}": _reranked(lambda a, m=m: rerank.Recency(a, AS_OF, m)) for m in _Modes}
     out["recency_off"] = _reranked(lambda a: rerank.Recency(a, AS_OF, "off"))
     out["exact_title_tiers"] = _reranked(lambda a: rerank.ExactTitle(a))
+    out |= {f"pool_tail_recency_{m}": _pooled(lambda a, m=m: rerank.Recency(a, AS_OF, m)) for m in ("medium", "date")}
+    out["pool_tail_exact"] = _pooled(lambda a: rerank.ExactTitle(a))
     out["rerank_chain"] = _reranked(lambda a: rerank.shipped(a, a, AS_OF), 600)
     return out
 
@@ -334,6 +433,23 @@ def oracle_sql() -> dict[str, str]:
     out |= {f"recency_{m}": _reranked_sql(sql.recency("sc", "rc", m, AS_OF), "rc") for m in _Modes}
     out["recency_off"] = _reranked_sql("x AS (SELECT 1)", "sc")
     out["exact_title_tiers"] = _reranked_sql(sql.exact("sc", "ex"), "ex")
+    pooled = lambda passes, last: f"WITH {sql.index(sql.PARTS, _PART_IDS)}, {sql.queried(POOL_QUERIES)}, {sql.scored(False)}, {_ATTRS}, {passes} {sql.cut(last, 700)}"
+    out |= {f"pool_tail_recency_{m}": pooled(sql.recency("sc", "rc", m, AS_OF), "rc") for m in ("medium", "date")}
+    out["pool_tail_exact"] = pooled(sql.exact("sc", "ex"), "ex")
+    out["typo_gate_off"] = f"WITH qs AS ({sql.values(TYPO_QUERIES)}) SELECT query_id, NULL::VARCHAR AS did_you_mean FROM qs"
+    # Titles are matched with the corrected words: the corrected queries take the place of the typed ones.
+    effective = f"eq AS (SELECT query_id, CASE WHEN p IS NULL THEN q ELSE list_reduce(list_transform(p, lambda x: x.word || chr(1) || x.term), lambda s, x: replace(s, split_part(x, chr(1), 1), split_part(x, chr(1), 2)), lower(q)) END AS q FROM qs LEFT JOIN (SELECT query_id, list(struct_pack(word := word, term := term) ORDER BY pos) AS p FROM fix WHERE applied GROUP BY ALL) USING (query_id)), {sql.tokens('et', 'eq', 'q', 'query_id')}"
+    out["typo_rerank_chain"] = f"{typos}, {sql.scored(terms='qx')}, {_ATTRS}, {effective}, {sql.recency('sc', 'rc', 'medium', AS_OF)}, {sql.exact('rc', 'ex').replace('FROM qt WHERE', 'FROM et WHERE')} {sql.cut('ex', 20)}"
+    out["bm25f_weights"] = _searched(PART_QUERIES).replace("WHEN 'title' THEN 8.0", "WHEN 'title' THEN 2.0").replace("WHEN 'attr' THEN 3.0", "WHEN 'attr' THEN 5.0").replace("1 - 0.75 + 0.75 * len", "1 - 0.4 + 0.4 * len").replace("(1.2 + wtf)", "(0.9 + wtf)")
+    out["packs_without_stopwords"] = f"{docs('doc_id')} SELECT term, count(*) AS n FROM (SELECT lower AS term FROM t UNION ALL SELECT latin FROM t WHERE latin <> '' AND latin <> lower) WHERE term <> '' GROUP BY ALL"
+    out["pack_with_stopwords"] = "SELECT p_partkey, len(list_filter(string_split(p_name, ' '), lambda w: lower(w) IN ('red', 'blue', 'the')))::BIGINT AS n_stopwords FROM part"
+    out["captured_changes"] = "SELECT user_id::BIGINT AS doc_id, count(*) AS n FROM events WHERE event_type = 'purchase' OR (event_id % 3 <> 0 AND event_id % 4 <> 0) GROUP BY ALL"
+    out["drain_oldest"] = "SELECT user_id::BIGINT AS doc_id, min(floor(epoch(ts))::BIGINT) AS ts FROM events GROUP BY ALL ORDER BY 2, 1 LIMIT 50"
+    out["backlog"] = "SELECT least(count(DISTINCT user_id), 5000) AS pending, true AS stalled, false AS in_time, false AS nothing_waits FROM events"
+    rows = ("('new', NULL, NULL, false, false, 0)", "('published', 1, 7, false, true, 1)", "('flushed', 2, 0, false, false, 0)", "('other analyzer', 3, 8, true, true, 1)", "('dropped', NULL, NULL, false, false, 0)")
+    out["index_status"] = f"SELECT step, version::BIGINT AS version, built_at::BIGINT AS built_at, stale, active, k * (SELECT count(*) FROM part WHERE p_partkey % 3 <> 0)::BIGINT AS docs, (SELECT count(*) FROM part)::BIGINT AS source_docs FROM (VALUES {', '.join(rows)}) AS s(step, version, built_at, stale, active, k)"
+    last = _ATTRS.replace("min(l_shipdate)", "max(l_shipdate)")
+    out["settings_chain"] = f"WITH {sql.index(sql.PARTS, _PART_IDS)}, {sql.queried(PART_QUERIES)}, {sql.scored()}, {last}, {sql.recency('sc', 'rc', 'strong', AS_OF, 30)}, {sql.exact('rc', 'ex')} {sql.cut('ex', 50)}"
     chained = f"{sql.recency('sc', 'rc', 'medium', AS_OF)}, {sql.exact('rc', 'ex')}"
     out["rerank_chain"] = _reranked_sql(chained, "ex", 600)
     out["search_flagship"] = _reranked_sql(chained, "ex", 20)

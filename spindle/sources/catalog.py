@@ -9,9 +9,9 @@ _URL = "(?i)^https?://"
 
 
 def strip_tags(html: Column) -> Column:
-    """Text without scripts, styles and tags, trimmed."""
-    bare = F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>", "")
-    return F.trim(F.regexp_replace(bare, r"(?s)<!--.*?-->|<[^>]*>", ""))
+    """Text without scripts, styles and tags, trimmed. What has no end goes on to the end of the text, so a text is read once."""
+    bare = F.regexp_replace(html, r"(?is)<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)", "")
+    return F.trim(F.regexp_replace(bare, r"(?s)<!--.*?(?:-->|\z)|<[^>]*(?:>|\z)", ""))
 
 
 def fields(**zones: Column) -> Column:

@@ -32,20 +32,29 @@ def applied(index: Index, changed: DataFrame, source: DataFrame, config: EngineC
 
 def pending(queue: DataFrame) -> int:
     """How many distinct ids wait; counted up to a bound."""
-    return queue.select("doc_id").distinct().limit(PENDING_MOST).count()
+    return queue.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().limit(PENDING_MOST).count()
+
+
+def oldest(queue: DataFrame, limit: int) -> DataFrame:
+    """doc_id, ts (its first change) of the `limit` ids that wait longest, of changes (doc_id, ts); ties to smaller ids."""
+    waiting = queue.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("ts").alias("ts"))
+    return waiting.orderBy("ts", "doc_id").limit(limit)
 
 
 def start(changes: DataFrame, store: Store, source: Callable[[], DataFrame], checkpoint: str, clock: Callable[[], int], config: EngineConfig | None = None, analyzer: AnalyzerConfig | None = None) -> StreamingQuery:
     """Drains a streaming frame of doc_ids into a store, one version for each micro-batch, until what is there is done.
 
-    A batch that is processed again after a failure gives the same index, since it reads the source and not the event.
+    A batch that is processed again after a failure gives the same index, since it reads the source and not the event. Before a
+    first publication the batch fails and its changes keep waiting.
     """
 
     def drain(batch: DataFrame, _: int) -> None:
         index = store.load()
         ids = batch.select("doc_id").dropDuplicates(["doc_id"]).persist()
         try:
-            if index is not None and not ids.isEmpty():
+            if index is None:
+                raise RuntimeError("no index is published; publish one and start again")
+            if not ids.isEmpty():
                 store.publish(applied(index, ids, source(), config, analyzer), analyzer, built_at=store.meta()["built_at"], last_drain=clock())
         finally:
             ids.unpersist()
