@@ -16,13 +16,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_few, checkpointed
+from .common import broadcast_if_few, checkpointed, row_key
 from .shingles import fingerprint_of, hashes
 
 #: Documents that the order of shingles is taken from, and the shingles it tells apart from rare ones.
 SAMPLE, COMMON = 20_000, 100_000
-#: From this size on, a bucket is first compared with one of its members; what that leaves apart is compared in full.
-STAR_FROM, STARS = 24, 3
+#: From this size on, a bucket is first compared with one of its members, in some turns; what they leave apart is compared in full.
+STAR_FROM, STARS = 8, 2
+#: Pairs that a task holds back to give each once, and the tasks that the buckets of one group of sets are dealt to.
+PENDING, TASKS = 1 << 19, 8
+#: Bins of a set's profile: how many of its shingles have each remainder. Two sets share no more than their profiles do.
+BINS = 128
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
@@ -36,6 +40,12 @@ def _ratio(similarity: float) -> tuple[int, int]:
     return got.numerator, got.denominator
 
 
+def _profile(own: np.ndarray) -> bytes:
+    """Counts of the shingles by remainder, 16 bits each; one that doesn't fit makes all of them the most there is."""
+    counts = np.bincount(own.view(np.uint64) % np.uint64(BINS), minlength=BINS)
+    return (counts if counts.max() < 65_535 else np.full(BINS, 65_535)).astype("<u2").tobytes()
+
+
 def _name(own: np.ndarray) -> int:
     import xxhash
 
@@ -68,7 +78,7 @@ def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prints(docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """doc_id, text_md5, sid (names the set), n (its size), fp (the fingerprint, signed) and prefix of every document."""
+    """doc_id, text_md5, sid (names the set), n (its size), fp (the fingerprint, signed), prefix and profile of every document."""
     grams, often = _common(docs, width)
     p, q = _ratio(similarity)
 
@@ -85,66 +95,82 @@ def prints(docs: DataFrame, similarity: float, width: int) -> DataFrame:
                 sets = [np.unique(h.view(np.int64)) for h in every]
                 named = pa.array([_name(s) for s in sets], pa.int64())
                 bits = pa.array(np.array([fingerprint_of(h) for h in every], np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), named, pa.array([len(s) for s in sets], pa.int32()), bits, pa.array([prefix(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "text_md5", "sid", "n", "fp", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), named, pa.array([len(s) for s in sets], pa.int32()), bits, pa.array([prefix(s) for s in sets], pa.list_(pa.int64())), pa.array([_profile(s) for s in sets], pa.binary())], ["doc_id", "text_md5", "sid", "n", "fp", "prefix", "profile"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(_text()).alias("text_md5"), _text().alias("text"))
-    return read.mapInArrow(each, "doc_id long, text_md5 string, sid long, n int, fp long, prefix array<long>")
+    return read.mapInArrow(each, "doc_id long, text_md5 string, sid long, n int, fp long, prefix array<long>, profile binary")
 
 
 def _candidates(keyed: DataFrame, turn: int | None, similarity: float) -> DataFrame:
     """Pairs a, b of each bucket (key) that lengths and places allow, unless they have one root already.
 
-    Small buckets give all their pairs. Larger ones those of the member that `turn` picks, and, with b null, their own
-    rows for later turns; with no turn all their pairs too.
+    keyed has key, sid, place (the shingle's place in the prefix, then the size of the set, 32 bits each) and, if the sets
+    have roots by now, root. Small buckets give all their pairs. Larger ones those of the member that `turn` picks, and, with
+    b null, their own rows for later turns; with no turn all their pairs too.
     """
-    columns = ["key", "at", "sid", "n", "root"]
+    columns = ["key", "sid", "place", *(["root", "fp"] if "root" in keyed.columns else [])]
     p, q = _ratio(similarity)
-    keyed = keyed.select(*columns).repartition("key").sortWithinPartitions("key", "sid")
+    # Buckets of one group of sets mostly have the same first member: together they give a pair once.
+    dealt = keyed.repartition("lead", F.pmod("key", F.lit(TASKS))) if "root" in keyed.columns else keyed.repartition("key")
+    keyed = dealt.select(*columns).sortWithinPartitions("key", "sid")
 
     def allowed(r: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        _, at, sid, n, root = r
-        both = 1 + np.minimum(n[i] - at[i] - 1, n[j] - at[j] - 1)  # at the first common shingle, no more can be common
-        ok = (sid[i] != sid[j]) & (root[i] != root[j]) & ((p + q) * both >= p * (n[i] + n[j]))
+        _, sid, place = r[:3]
+        n, left = place & 0xFFFFFFFF, (place & 0xFFFFFFFF) - (place >> 32)
+        both = np.minimum(left[i], left[j])  # at the first common shingle, no more can be common
+        ok = (sid[i] != sid[j]) & ((p + q) * both >= p * (n[i] + n[j]))
+        if len(r) == 3:
+            return i[ok], j[ok]
+        ok &= r[3][i] != r[3][j]
         return i[ok], j[ok]
 
-    def found(r: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        def batch(i: np.ndarray, j: np.ndarray | None) -> pa.RecordBatch:
-            a, b = (r[2][i], None) if j is None else (np.minimum(r[2][i], r[2][j]), np.maximum(r[2][i], r[2][j]))
-            rest = [r[0][i], r[1][i], a, r[3][i]]
-            return pa.RecordBatch.from_arrays([*(pa.array(x) for x in rest), pa.nulls(len(i), pa.int64()) if b is None else pa.array(b)], ["key", "at", "a", "n", "b"])
+    def found(r: list[np.ndarray]) -> Iterator[np.ndarray | pa.RecordBatch]:
+        key, sid, place = r[:3]
+        if not len(key):
+            return
+
+        def pairs(some: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+            i, j = (np.concatenate(x) for x in zip(*some))
+            yield np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], axis=1)
 
-        key, sid = r[0], r[2]
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[new, len(key)])
         size = np.repeat(sizes, sizes)
         small = size < STAR_FROM
+        some = [(np.empty(0, np.int64),) * 2]
         for step in range(1, int(size[small].max(initial=1))):
             i = np.flatnonzero(small[:-step] & (key[:-step] == key[step:]))
-            i, j = allowed(r, i, i + step)
-            if len(i):
-                yield batch(i, j)
+            some.append(allowed(r, i, i + step))
+        yield from pairs(some)
         for start, many in zip(new[sizes >= STAR_FROM], sizes[sizes >= STAR_FROM]):
             every = np.arange(start, start + many)
             if turn is None:
                 for i in every[:-1]:
-                    one, two = allowed(r, np.full(start + many - i - 1, i), np.arange(i + 1, start + many))
-                    if len(one):
-                        yield batch(one, two)
+                    yield from pairs([allowed(r, np.full(start + many - i - 1, i), np.arange(i + 1, start + many))])
                 continue
-            i = start + int(np.argmin(sid[every].view(np.uint64) * np.uint64(2 * turn + 0x9E3779B97F4A7C15)))
-            one, two = allowed(r, np.full(many, i), every)
-            if len(one):
-                yield batch(one, two)
-            yield batch(every, None)
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if turn:
+                yield from pairs([allowed(r, np.full(many, centre(r, every)), every)])
+                continue
+            i = start + int(np.argmin(sid[every].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            yield from pairs([allowed(r, np.full(many, i), every)])
+            yield pa.RecordBatch.from_arrays([pa.array(key[every]), pa.array(place[every]), pa.array(sid[every]), pa.nulls(many, pa.int64())], ["key", "place", "a", "b"])
+
+    def centre(r: list[np.ndarray], every: np.ndarray) -> int:
+        prints = r[4][every].view(np.uint64)
+        most = np.zeros(1, np.uint64)
+        for bit in range(64):
+            if 2 * int((prints >> np.uint64(bit) & np.uint64(1)).sum()) > len(prints):
+                most |= np.uint64(1 << bit)
+        return int(every[np.argmin(np.bitwise_count(prints ^ most))])
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray | pa.RecordBatch]:
         kept: list[list[np.ndarray]] = []
         for batch in batches:
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if not len(now[0]):
+            if not batch.num_rows:
                 continue
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             cut = int(np.searchsorted(now[0], now[0][-1]))
-            if kept and kept[0][0][0] == now[0][-1]:
+            if not cut and kept and kept[0][0][0] == now[0][-1]:
                 kept.append(now)
                 continue
             yield from found([np.concatenate(x) for x in zip(*kept, [c[:cut] for c in now])])
@@ -152,52 +178,89 @@ def _candidates(keyed: DataFrame, turn: int | None, similarity: float) -> DataFr
         if kept:
             yield from found([np.concatenate(x) for x in zip(*kept)])
 
-    return keyed.mapInArrow(stream, "key long, at int, a long, n int, b long")
+    def batch_of(both: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(both), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(both[:, 0]), pa.array(both[:, 1])], ["key", "place", "a", "b"])
 
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The buckets' rows; a pair that several buckets of a task have is given once as far as PENDING pairs reach."""
+        pending, size = [np.empty((0, 2), np.int64)], 0
+        for x in buckets(batches):
+            if isinstance(x, pa.RecordBatch):
+                yield x
+                continue
+            pending.append(x)
+            size += len(x)
+            if size > PENDING:
+                both = np.unique(np.concatenate(pending), axis=0)
+                pending, size = [both], len(both)
+                if size > PENDING // 2:
+                    yield batch_of(both)
+                    pending, size = [both[:0]], 0
+        yield batch_of(np.unique(np.concatenate(pending), axis=0))
 
-def links(docs: DataFrame, nodes: DataFrame, close: DataFrame, similarity: float, width: int = 5) -> DataFrame:
+    return keyed.mapInArrow(stream, "key long, place long, a long, b long")
+
+
+def links(docs: DataFrame, nodes: DataFrame, prefixes: DataFrame, close: DataFrame, similarity: float, width: int = 5) -> DataFrame:
     """fp (a set's name) and root of every set that reaches another by pairs of Jaccard `similarity` or more.
 
-    nodes has sid, md5 (of a text that makes the set), n and prefix of each set; close has pairs a, b that are candidates
-    already. These and the candidates of small buckets are verified together; large buckets whose members they have not yet
-    made one are looked at again, by one member a turn and at last in full.
+    nodes has sid, key (of one document that makes the set), n, fp and profile of each set, prefixes sid, n and prefix; close has
+    pairs a, b that are candidates already. These and the candidates of small buckets are verified together; large buckets whose members
+    they have not yet made one are looked at again, by one member a turn and at last in full.
     """
     from .simhash import components
 
-    keyed = nodes.select("sid", "n", F.posexplode("prefix").alias("at", "key")).withColumn("root", F.col("sid"))
-    edges, sets, turn = None, None, 0
+    place = F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")
+    keyed = prefixes.select("sid", "n", F.posexplode("prefix").alias("at", "key")).select("key", "sid", place.alias("place"))
+    edges, turn, large, met = None, 0, None, -1
     while True:
         got = checkpointed(_candidates(keyed, turn if turn < STARS else None, similarity))
         pairs = got.where("b IS NOT NULL").select("a", "b")
-        pairs = checkpointed((pairs if turn else pairs.union(close)).distinct())
-        sets = _sets_of(docs, nodes, pairs, sets, width)
-        true = _verified(pairs, sets, similarity)
+        pairs = _possible(nodes, checkpointed((pairs if turn else pairs.union(close)).distinct()), similarity)
+        true = _verified(docs, nodes, pairs, similarity, width)
         edges = checkpointed(true if edges is None else edges.union(true).distinct())
         rooted = components(edges)
-        large = got.where("b IS NULL").select("key", "at", F.col("a").alias("sid"), "n")
+        large = got.where("b IS NULL").select("key", "place", F.col("a").alias("sid")) if large is None else large
         if turn >= STARS or large.isEmpty():
             return rooted
         named = large.join(rooted.withColumnRenamed("fp", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        split = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        keyed = checkpointed(named.join(split, "key", "left_semi"))
-        if keyed.isEmpty():
+        split = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("sid").alias("lead")).where("lo < hi").select("key", "lead")
+        named = checkpointed(named.join(split, "key"))
+        if named.isEmpty():
             return rooted
-        turn += 1
+        keyed = named.join(nodes.select("sid", "fp"), "sid")
+        met, before = edges.count(), met
+        turn = turn + 1 if met > before else STARS  # a turn without a new link is the last but the one in full
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, have: DataFrame | None, width: int) -> DataFrame:
-    """sid and grams of every set in a pair, with those worked out before; only texts in a pair are read into sets again."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    ids = ids if have is None else ids.join(have.select("sid"), "sid", "left_anti")
-    needed = checkpointed(nodes.join(ids, "sid", "left_semi").select("md5"))
-    texts = docs.select(_text().alias("text")).withColumn("md5", F.md5("text")).join(broadcast_if_few(needed), "md5", "left_semi").dropDuplicates(["md5"])
-    sets = checkpointed(_sets(texts, width))
-    return sets if have is None else have.union(sets)
+def _possible(nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose profiles allow the similarity; a set's profile is a small part of the set."""
+    p, q = _ratio(similarity)
+    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+    some = nodes.join(broadcast_if_few(ids), "sid", "left_semi")
+    one, two = (some.select(F.col("sid").alias(x), F.col("n").alias(f"{x}n"), F.col("profile").alias(f"{x}p")) for x in "ab")
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
+                h = [np.frombuffer(b"".join(part.column(k).to_pylist()), "<u2").reshape(-1, BINS) for k in (4, 5)]
+                n = part.column(2).to_numpy().astype(np.int64) + part.column(3).to_numpy()
+                ok = pa.array((p + q) * np.minimum(*h).sum(axis=1, dtype=np.int64) >= p * n)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], ["a", "b"])
+
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "an", "bn", "ap", "bp")
+    return checkpointed(both.mapInArrow(each, "a long, b long"))
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose whole sets have a Jaccard of the similarity or more."""
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs whose whole sets have a Jaccard of the similarity or more; only one text of a set in a pair is read again."""
     p, q = _ratio(similarity)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    needed = checkpointed(nodes.join(ids, "sid", "left_semi").select("key"))
+    texts = docs.select(_text().alias("text"), row_key(F.col("doc_id"), F.col("text")).alias("key")).join(broadcast_if_few(needed), "key", "left_semi")
+    sets = _sets(texts, width).groupBy("sid").agg(F.first("grams").alias("grams"))
     one, two = (sets.select(F.col("sid").alias(x), F.col("grams").alias(f"{x}s")) for x in "ab")
     both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("as", "bs")))
     return both.where((p + q) * F.col("common") >= p * (F.size("as") + F.size("bs"))).select("a", "b")

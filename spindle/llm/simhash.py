@@ -130,10 +130,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """fp and root (the smallest fp that links reach, as a signed number) of every fp that has a link.
 
     Alternating large and small stars; each round is checkpointed, so a lost executor costs a round at most. The loop
-    ends once a round changes nothing.
+    ends once every fp has one link, to a root that has none.
     """
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -141,10 +140,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = checkpointed(small.where(F.col("u") != F.col("v")).distinct())
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.count_distinct("u").alias("d")).first()
-        if state == seen and state["n"] == state["d"]:
+        state = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()
+        if (state["n"] or 0) <= 1 and edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             break
-        seen = state
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
@@ -178,14 +176,15 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, distan
     names; an empty table gives no rows.
     """
     prints = checkpointed(overlap.prints(docs, similarity, width))
-    nodes = prints.where("n > 0").groupBy("sid").agg(F.min("text_md5").alias("md5"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("fp").alias("fp"))
-    nodes = checkpointed(nodes)
+    there = prints.where("n > 0")
+    nodes = checkpointed(there.groupBy("sid").agg(F.min(key_of(F.col("doc_id"), F.col("text_md5"))).alias("key"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("profile").alias("profile")))
+    prefixes = there.groupBy("sid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     of_print = nodes.groupBy("fp").agg(F.min("sid").alias("first"))
     same = hot_join(nodes.select("fp", "sid"), of_print, "fp").where("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
     close = links(of_print.select("fp"), distance, blocks)
     one, two = (of_print.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_")) for x in "ab")
     close = close.join(one, "a").join(two, "b").select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b"))
-    rooted = overlap.links(docs, nodes, close.union(same), similarity, width).select(F.col("fp").alias("sid"), "root")
+    rooted = overlap.links(docs, nodes, prefixes, close.union(same), similarity, width).select(F.col("fp").alias("sid"), "root")
     own = prints.select("sid", F.lit(True).alias("own")).distinct().join(rooted, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"))
     return stay(docs, hot_join(prints.select("doc_id", "text_md5", "sid"), own, "sid"))
 

@@ -72,3 +72,15 @@ def test_hot_sets_and_repeated_rows(spark):
     rows = [(i % 1200, "one text that a third of all rows have") for i in range(1500)] + [(5000 + i, f"text {i} of its own with words w{i} x{i} y{i}") for i in range(60)]
     got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
     assert sorted(r.doc_id for r in got.collect()) == [0, *range(5000, 5060)]
+
+
+def test_profiles_bound_what_sets_share():
+    import numpy as np
+    from spindle.llm import overlap
+
+    rng = random.Random(8)
+    for n in (5, 300, 9000):
+        a = overlap.shingles(" ".join(f"w{rng.randrange(n)}" for _ in range(n)))
+        b = overlap.shingles(" ".join(f"w{rng.randrange(n)}" for _ in range(n)) + " w1 w2 w3 w4 w5")
+        h = [np.frombuffer(overlap._profile(x), "<u2").astype(int) for x in (a, np.union1d(a[::2], b))]
+        assert np.minimum(*h).sum() >= len(np.intersect1d(a, np.union1d(a[::2], b))) and h[0].sum() == len(a)
