@@ -79,6 +79,14 @@ def broadcast_if_few(keys: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= most else keys
 
 
+def compact(frame: DataFrame, rows: int = 1 << 18) -> DataFrame:
+    """A checkpointed frame in as few partitions as its rows need, at `rows` each; counted, so a large one stays as it is.
+
+    What reads it next writes one shuffle file for each of these partitions, not one for each of the partitions of some join before.
+    """
+    return frame.coalesce(max(1, -(-frame.count() // rows)))
+
+
 def repeated(frame: DataFrame, copies: str, chunk: int = 4096) -> DataFrame:
     """Each row as often as its column `copies` says, without that column; arrays stay at `chunk` numbers."""
     return (

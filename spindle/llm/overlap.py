@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_few, checkpointed, row_key
+from .common import broadcast_if_few, checkpointed, compact, row_key
 from .shingles import fingerprint_of, hashes
 
 #: Documents that the order of shingles is taken from, and the shingles it tells apart from rare ones.
@@ -217,16 +217,16 @@ def links(docs: DataFrame, nodes: DataFrame, prefixes: DataFrame, close: DataFra
     while True:
         got = checkpointed(_candidates(keyed, turn if turn < STARS else None, similarity))
         pairs = got.where("b IS NOT NULL").select("a", "b")
-        pairs = _possible(nodes, checkpointed((pairs if turn else pairs.union(close)).distinct()), similarity)
+        pairs = _possible(nodes, compact(checkpointed((pairs if turn else pairs.union(close)).distinct())), similarity)
         true = _verified(docs, nodes, pairs, similarity, width)
-        edges = checkpointed(true if edges is None else edges.union(true).distinct())
+        edges = compact(checkpointed(true if edges is None else edges.union(true).distinct()))
         rooted = components(edges)
-        large = got.where("b IS NULL").select("key", "place", F.col("a").alias("sid")) if large is None else large
+        large = compact(got.where("b IS NULL").select("key", "place", F.col("a").alias("sid"))) if large is None else large
         if turn >= STARS or large.isEmpty():
             return rooted
         named = large.join(rooted.withColumnRenamed("fp", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         split = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("sid").alias("lead")).where("lo < hi").select("key", "lead")
-        named = checkpointed(named.join(split, "key"))
+        named = compact(checkpointed(named.join(split, "key")))
         if named.isEmpty():
             return rooted
         keyed = named.join(nodes.select("sid", "fp"), "sid")
@@ -237,7 +237,7 @@ def links(docs: DataFrame, nodes: DataFrame, prefixes: DataFrame, close: DataFra
 def _possible(nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose profiles allow the similarity; a set's profile is a small part of the set."""
     p, q = _ratio(similarity)
-    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+    ids = compact(checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()))
     some = nodes.join(broadcast_if_few(ids), "sid", "left_semi")
     one, two = (some.select(F.col("sid").alias(x), F.col("n").alias(f"{x}n"), F.col("profile").alias(f"{x}p")) for x in "ab")
 
@@ -251,7 +251,7 @@ def _possible(nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFram
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], ["a", "b"])
 
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "an", "bn", "ap", "bp")
-    return checkpointed(both.mapInArrow(each, "a long, b long"))
+    return compact(checkpointed(both.mapInArrow(each, "a long, b long")))
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:

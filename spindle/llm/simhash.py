@@ -22,6 +22,8 @@ from .shingles import fingerprint_of, hashes
 
 #: From this size on, a bucket gives the links of a spanning forest of itself instead of all its links.
 FOREST_FROM = 24
+#: Edges that are made into stars at a time.
+CHUNK = 1 << 19
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -126,14 +128,54 @@ def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, forest
     return keyed.mapInArrow(verify, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges, made into stars: each node that has a smaller one in its component, and the smallest one there."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = np.arange(len(ids))
+    a, b = at[: len(u)], at[len(u) :]
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    moved = root != np.arange(len(ids))
+    return ids[moved], ids[root[moved]]
+
+
+def components(edges: DataFrame, rounds: int = 60, chunk: int = CHUNK) -> DataFrame:
     """fp and root (the smallest fp that links reach, as a signed number) of every fp that has a link.
 
-    Alternating large and small stars; each round is checkpointed, so a lost executor costs a round at most. The loop
-    ends once every fp has one link, to a root that has none.
+    Each round makes stars of the edges, at most `chunk` at a time, and where they took more than one task, alternates a large
+    and a small star over all of them; it is checkpointed, so a lost executor costs a round at most. The loop ends once every
+    fp has one link, to a root that has none.
     """
-    edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def made() -> pa.RecordBatch:
+            u, v = _forest(*(np.concatenate(x) for x in zip(*kept)))
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, chunk):
+                part = batch.slice(at, chunk)
+                if kept and sum(len(k[0]) for k in kept) + part.num_rows > chunk:
+                    yield made()
+                    kept.clear()
+                kept.append((part.column(0).to_numpy(), part.column(1).to_numpy()))
+        if kept:
+            yield made()
+
+    edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
     for _ in range(rounds):
+        tasks = max(1, -(-edges.count() // chunk))
+        edges = edges.coalesce(tasks).mapInArrow(stars, "u long, v long")
+        if tasks == 1:
+            edges = checkpointed(edges)
+            break
+        edges = edges.distinct()
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -58,6 +58,7 @@ def test_links_keep_components_of_dense_and_chained_prints(spark):
     assert edges.count() < 15 * len(prints)
     assert edges.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > 4).count() == 0
     got = {r.fp & (2**64 - 1): r.root for r in simhash.components(edges).collect()}
+    assert got == {r.fp & (2**64 - 1): r.root for r in simhash.components(edges, chunk=150).collect()}
     names = smallest(list(range(len(prints))), prints)
     groups = {}
     for p, n in zip(prints, names):
