@@ -8,14 +8,18 @@ scoring keeps a table of the words met so far and needs one look-up per distinct
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
+from array import array
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import mul
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +37,7 @@ SAMPLE = 6_000
 WORD = re.compile(r"[^\W_]+(?:['@$!*][^\W_]+)*")
 #: Runs of more letters than this are read as pieces of this length, each OVERLAP letters into the one before: nothing is left out.
 LONG, OVERLAP = 40, 12
-#: Most bytes of text that training takes to the driver; of the sample those documents, in its order, that still have room.
+#: Most bytes of text that training takes to its task; of the sample those documents, in its order, that still have room.
 SAMPLE_BYTES = 64 << 20
 _SCORES: dict[str, "_Words"] = {}
 
@@ -118,12 +122,18 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = 2000, batch: int = 6
     for ids, n in docs:
         often[ids] += n / n.sum() / len(docs)
     common = {w: float(often[i]) for w, i in index.items() if often[i] > COMMON / 20}
-    listed = [np.array(grams(w), np.int32) for w in index]
-    lengths = np.array([len(x) for x in listed] or [0])
-    starts = np.r_[0, np.cumsum(lengths)]
-    used, flat = np.unique(np.concatenate(listed) if listed else np.zeros(0, np.int32), return_inverse=True)
+    listed, ends = array("i"), array("q", [0])
+    for w in index:
+        listed.extend(grams(w))
+        ends.append(len(listed))
+    starts, flat = np.array(ends), np.array(listed)
+    lengths = np.diff(starts)
+    used = np.flatnonzero(np.bincount(flat, minlength=BUCKETS))
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used))
+    flat = place[flat]  # 4 bytes an n-gram, none of them sorted
     calm = (COMMON / (COMMON + often[:-1])).astype(np.float32)
-    del listed, index
+    del listed, ends, index
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.01, (len(used), SIZE)).astype(np.float32)
     classes, offsets = np.zeros((SIZE, 2), np.float32), np.zeros(2, np.float32)
@@ -212,9 +222,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
             room -= r["size"]
             fitting.append((r["doc_id"],))
     taken = docs.sparkSession.createDataFrame(fitting, "id_ long")
-    rows = known.join(F.broadcast(taken), F.col("doc_id") == F.col("id_"), "left_semi").orderBy(F.xxhash64("doc_id")).toPandas()
-    toxic = rows["label"].to_numpy(float) if len(rows) else np.zeros(0)
-    texts = rows["text"].tolist() if len(rows) else []
+    rows = known.join(F.broadcast(taken), F.col("doc_id") == F.col("id_"), "left_semi").select("doc_id", "text", "label")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks = [], []
+        for batch in batches:
+            texts += batch.column(1).to_pylist()
+            marks += batch.column(2).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted(texts, np.array(marks, float), there))], pa.binary())], ["model"])
+
+    # Training takes some nine times the memory of its texts: one task does it, and the driver gets the finished model alone.
+    found = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id")).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fitted([], np.zeros(0), there)
+
+
+def fitted(texts: list[str], toxic: np.ndarray, there: dict[int, int]) -> Model:
+    """The calibrated model of a sample's texts; there: how many labelled rows each class has."""
     if not len(set(toxic)) == 2:
         share = float(toxic.mean()) if len(toxic) else 0.0
         return Model(np.zeros(BUCKETS), {}, 0.0, np.array([0.0]), np.array([share]), f"none {share}")

@@ -1,6 +1,7 @@
 """Toxicity: held-out accuracy, shared n-grams of misspellings, and rows without labels or text."""
 
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -115,3 +116,23 @@ def test_gradient_step(monkeypatch):
         down[bucket, j] -= 1e-3
         slope = (loss(up, still[1].astype(float), still[2], shares) - loss(down, still[1].astype(float), still[2], shares)) / 2e-3
         assert np.sign(moved[0][bucket, j] - still[0][bucket, j]) == -np.sign(slope)
+
+
+def test_training_takes_no_memory_of_the_driver(spark, documents, sf, monkeypatch):
+    """The texts are trained on by a task: the driver works without train, calibrated and the words' scores."""
+    labels = labels_of(spark, sf, "toxic")
+    for name in ("train", "calibrated", "_Words"):
+        monkeypatch.setattr(toxicity, name, None)
+    model = toxicity.fit(documents, labels)
+    assert model.weight.any() and len(model.knots) > 1
+
+
+def test_memory_of_training():
+    """Beside what it keeps, preparing the n-grams takes a few bytes for each."""
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=10)) for _ in range(100)) for _ in range(400)]
+    tracemalloc.start()
+    toxicity.train(texts, np.arange(400) % 2 * 1.0, steps=8, batch=8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
