@@ -2,25 +2,25 @@
 
 On unit vectors a larger cosine is a smaller distance, so trees prune by distance and answers are ranked by the cosine of
 the original vectors. A query in a shard visits a subtree only if the triangle inequality, with the search radius scaled by
-`factor`, cannot rule it out: factor 1 is exact, smaller factors prune more. Trees and blocks of queries are rows; each
-pair of a tree and a block is one bounded piece of work, and a query's answers from all shards are merged at the end.
+`factor`, cannot rule it out: factor 1 is exact, smaller factors prune more. A task plants the trees of a group of shards and
+streams all queries past them, a row each; it answers a query from its trees together, and the answers of all groups are merged at the end.
 """
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Vectors of a shard, of a leaf, and queries of a block: a block and a tree are of like size, so their pairs ship no more of one.
+#: Vectors of a shard, of a leaf, and queries answered at a time.
 SHARD, LEAF, BLOCK = 16_384, 256, 8192
+#: Shards up to GROUPS are a group each; of more, at most TREES make a group, and GROUPS groups at least. A task holds one group's trees.
+GROUPS, TREES = 64, 16
 #: Distances of equal unit vectors come out as up to 1e-8 apart; bounds are compared with this much to spare.
 SLACK = 1e-7
 
@@ -76,10 +76,10 @@ def build(ids: np.ndarray, vectors: np.ndarray, seed: int = 3) -> dict[str, np.n
     return {"ids": ids, "vectors": vectors, "order": order, "nodes": np.array(nodes)}
 
 
-def search(tree: dict[str, np.ndarray], queries: np.ndarray, query_ids: np.ndarray, k: int, factor: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def search(tree: dict[str, np.ndarray], queries: np.ndarray, query_ids: np.ndarray, k: int, factor: float, known: list[tuple[int, np.ndarray, np.ndarray]] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query its id and the ids and cosines of the k best rows found, its own id left out; ties to smaller ids.
 
-    Of several rows with one id the nearest counts.
+    Of several rows with one id the nearest counts. `known` holds what other trees gave for the queries, to be merged with.
     """
     ids, order, nodes = (tree[x] for x in ("ids", "order", "nodes"))
     vectors, queries = _scaled(tree["vectors"]), _scaled(queries)
@@ -93,8 +93,9 @@ def search(tree: dict[str, np.ndarray], queries: np.ndarray, query_ids: np.ndarr
     rows_of = nodes[:, :2].astype(np.int64)
     inner_far, outer_near, left, right = nodes[:, 3], nodes[:, 4], nodes[:, 6].astype(int), nodes[:, 7].astype(int)
     for q in range(len(own)):
-        best_cos, best_id = np.full(0, -2.0), np.zeros(0, np.int64)
-        reach, todo = 3.0, [(0.0, 0)]
+        best_id, best_cos = known[q][1:] if known else (np.zeros(0, np.int64), np.full(0, -2.0))
+        reach = float(np.sqrt(max(0.0, 2 - 2 * best_cos[-1]))) if len(best_cos) == k else 3.0
+        todo = [(0.0, 0)]
         while todo:
             bound, i = todo.pop()
             if bound > factor * reach + SLACK:
@@ -120,15 +121,10 @@ def search(tree: dict[str, np.ndarray], queries: np.ndarray, query_ids: np.ndarr
         yield int(query_ids[q]), best_id, best_cos
 
 
-def _packed(tree: dict[str, np.ndarray]) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **tree)
-    return out.getvalue()
-
-
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array of doubles) and dim of vectors that are not null, zero or empty and hold finite numbers alone."""
-    v = F.col("embedding").cast("array<double>")
+    """vec_id, v (array of doubles, or of floats if given so) and dim of vectors that are not null, zero or empty and hold finite numbers alone."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    v = F.col("embedding").cast(kind if kind == "array<float>" else "array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     return vectors.where(F.col("vec_id").isNotNull() & v.isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.size("embedding").alias("dim"))
 
@@ -143,38 +139,43 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
     """
     rows = checkpointed(usable(vectors).distinct())
     shards = -(-rows.count() // shard) or 1
-    keyed = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
-
-    def plant(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
-        for batch in groups:
-            s, d = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            for key in {*zip(s.tolist(), d.tolist())}:
-                own = np.flatnonzero((s == key[0]) & (d == key[1]))
-                some = batch.take(pa.array(own))
-                held.setdefault(key, []).append((some.column(0).to_numpy(), np.asarray(some.column(1).flatten()).reshape(len(own), key[1])))
-        for (s, d), parts in held.items():
-            tree = build(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([d], pa.int32()), pa.array([_packed(tree)], pa.binary())], ["shard", "dim", "tree"])
-
-    trees = checkpointed(keyed.select("vec_id", "v", "shard", "dim").repartition(shards, "shard").mapInArrow(plant, "shard int, dim int, tree binary"))
-    asked = usable(queries).distinct()
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(-(-asked.count() // block) or 1)).cast("int"))
-    blocks = asked.groupBy("block", "dim").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("asked"))
-    pairs = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(trees, ["shard", "dim"])
-
-    def ask(pair: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for row in pair.itertuples():
-            with np.load(io.BytesIO(row.tree)) as stored:
-                tree = {x: stored[x] for x in stored.files}
-            ids = np.array([a["vec_id"] for a in row.asked], np.int64)
-            found += search(tree, np.array([a["v"] for a in row.asked], float), ids, k, factor)
-        sizes = [len(f[1]) for f in found]
-        return pd.DataFrame({"query_id": np.repeat([f[0] for f in found], sizes), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
-
-    # One pair of a tree and a block is one group: that is all a worker holds.
-    answers = pairs.groupBy("shard", "dim", "block").applyInPandas(ask, "query_id long, vec_id long, score double")
+    groups = min(shards, max(GROUPS, -(-shards // TREES)))
+    planted = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int")).withColumn("group", F.col("shard") % groups)
+    asked = usable(queries).distinct().withColumn("shard", F.lit(-1)).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    both = planted.withColumn("asks", F.lit(0)).unionByName(asked.withColumn("asks", F.lit(1))).select("group", "asks", "shard", "dim", "vec_id", "v")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, trees = -1, {}, None
+        for batch in batches:
+            keys = np.column_stack([batch.column(i).to_numpy() for i in range(4)])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                g, asks, s, dim = keys[lo].tolist()
+                if g != group:
+                    group, held, trees = g, {}, None
+                ids = batch.column(4).slice(lo, hi - lo).to_numpy()
+                own = np.array(batch.column(5).slice(lo, hi - lo).flatten(), float).reshape(hi - lo, dim)
+                if not asks:
+                    held.setdefault((dim, s), []).append((ids, own))
+                    continue
+                if trees is None:
+                    trees = {}
+                    for key in sorted(held):
+                        parts = held.pop(key)
+                        trees.setdefault(key[0], []).append(build(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])))
+                for at in range(0, len(ids) if dim in trees else 0, block):
+                    found = None
+                    for tree in trees[dim]:
+                        found = [*search(tree, own[at : at + block], ids[at : at + block], k, factor, found)]
+                    sizes = [len(f[1]) for f in found]
+                    columns = [np.repeat([f[0] for f in found], sizes), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+
+    # Vectors come before queries in a group: a task holds its trees, and of the queries a batch.
+    dealt = both.repartition(groups, "group").sortWithinPartitions("group", "asks", "shard", "dim")
+    answers = dealt.mapInArrow(answer, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     answers = answers.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

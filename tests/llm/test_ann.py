@@ -83,3 +83,21 @@ def test_one_id_with_several_vectors(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [(r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in ann.nearest(table, table.where("vec_id = 0"), k=3, factor=1.0).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 0.707107)]
+
+
+def test_trees_of_one_task(spark, sf):
+    """200 shards in 64 groups: a task answers from several trees, and the merged answers are those of all cosines."""
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = table.collect()
+    ids, vectors = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = {}
+    for r in ann.nearest(table, table.where("vec_id % 20 = 0"), factor=1.0, shard=-(-len(ids) // 200), block=7).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [x for x, _ in v] for q, v in brute(ids, vectors, ids[ids % 20 == 0], 5).items()}
+
+
+def test_no_row_holds_a_tree_or_a_block(spark, sf):
+    """What is shuffled and sorted is rows of one vector: not trees, blocks of queries, or pairs of both."""
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    plan = ann.nearest(table, table.where("vec_id % 20 = 0"), shard=150)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "Join" not in plan and "binary" not in plan
