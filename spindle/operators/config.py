@@ -23,8 +23,8 @@ class EngineConfig:
     k1: float = 1.2
     b: float = 0.75
     typo: bool = True
-    typo_max_docs: int = 100_000
-    typo_vocab_cap: int = 4_000
+    typo_max_docs: int | None = None  # corrections are off for indexes of more documents; None: never
+    typo_vocab_cap: int | None = None  # most terms of a first character that are candidates; None: all
     typo_min_freq: int = 2
 
     def zone_weight(self, zone: Column) -> Column:

@@ -68,9 +68,13 @@ class Index:
         """term, df over all zones. (term, doc) pairs are counted before and after the shuffle, so a hot term is no hot task."""
         return self.postings.select("term", "doc_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
+    def named_frequencies(self, min_freq: int) -> DataFrame:
+        """term, df, first (its first character) of the terms of at least min_freq documents."""
+        return self.document_frequencies().withColumn("first", F.substring("term", 1, 1)).where(F.col("df") >= min_freq)
+
     def vocabulary(self, first_chars: Column | list[str], limit: int, min_freq: int = 2) -> DataFrame:
         """first, term, df, place of the `limit` most frequent terms by first character, ties by term; case counts."""
-        named = self.document_frequencies().withColumn("first", F.substring("term", 1, 1)).where(F.col("df") >= min_freq)
+        named = self.named_frequencies(min_freq)
         named = named.where(F.col("first").isin(first_chars) if isinstance(first_chars, list) else first_chars)
         order = Window.partitionBy("first").orderBy(F.col("df").desc(), "term")
         return named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)

@@ -27,16 +27,20 @@ def corrections(index: Index, terms: DataFrame, config: EngineConfig | None = No
     """query_id, pos, word, term, distance, applied for unknown positions that have a match near enough.
 
     A position is unknown if no document has any of its terms; its longest term (the first of several) stands for it, from 3
-    characters on. Candidates share the first character; the vocabulary of each is its most frequent terms up to the cap.
+    characters on. Candidates share the first character and are all terms of enough documents, or as many of the most frequent as a cap leaves.
+    Of equally near ones the most frequent is taken, then the first.
     """
     config = config or EngineConfig()
     known = terms.join(index.df_for_terms(terms), "term").groupBy("query_id", "pos").agg(F.max("df").alias("df"), F.max_by("term", F.struct(F.length("term").alias("n"), (-F.col("ord")).alias("o"))).alias("word"))
     unknown = known.where((F.col("df") == 0) & (F.length("word") >= 3)).select("query_id", "pos", "word").withColumn("first", F.substring("word", 1, 1))
     words = broadcast_if_few(unknown.select("word", "first").distinct())
-    vocabulary = index.vocabulary(F.lit(True), config.typo_vocab_cap, config.typo_min_freq)
+    if config.typo_vocab_cap is None:
+        vocabulary = index.named_frequencies(config.typo_min_freq)
+    else:
+        vocabulary = index.vocabulary(F.lit(True), config.typo_vocab_cap, config.typo_min_freq)
     near = vocabulary.join(words, "first").where(F.abs(F.length("term") - F.length("word")) <= 2).where(F.levenshtein("term", "word") <= 4)
     near = near.withColumn("distance", D.osa(F.col("word"), F.col("term"))).where(F.col("distance") <= 2)
-    best = near.groupBy("word").agg(F.min(F.struct("distance", "place", "term")).alias("best")).select("word", "best.distance", "best.term")
+    best = near.groupBy("word").agg(F.min(F.struct("distance", (-F.col("df")).alias("rare"), "term")).alias("best")).select("word", "best.distance", "best.term")
     auto = D.auto_threshold(F.col("word"))
     applied = ~D.is_code_like(F.col("word")) & D.is_plausible(F.col("word"), F.col("term")) & (F.col("distance") <= auto)
     return unknown.drop("first").join(best, "word").where(applied | (F.col("distance") <= auto + 1)).select("query_id", "pos", "word", "term", "distance", applied.alias("applied"))
@@ -48,10 +52,9 @@ def _replaced(text, pairs):
 
 
 def expand(index: Index, queries: DataFrame, terms: DataFrame, config: EngineConfig | None = None) -> Expanded:
-    """Corrections worked into a batch of queries (query_id, q); none if typo tolerance is off or the index too large for it."""
+    """Corrections worked into a batch of queries (query_id, q); none if typo tolerance is off or the index larger than a limit that is set."""
     config = config or EngineConfig()
-    n = index.doc_count()
-    if not config.typo or not 0 < n <= config.typo_max_docs:
+    if not config.typo or (config.typo_max_docs is not None and index.doc_count() > config.typo_max_docs):
         none = terms.select("query_id", "pos", F.col("term").alias("word"), "term", F.lit(0).alias("distance"), F.lit(False).alias("applied")).limit(0)
         return Expanded(terms, queries.select("query_id", "q", F.lit(None).cast("string").alias("did_you_mean"), F.col("q").alias("effective")), none)
     found = checkpointed(corrections(index, terms, config))  # a few rows, read three times

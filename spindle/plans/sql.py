@@ -129,16 +129,18 @@ def exact(source: str, out: str) -> str:
     )"""
 
 
-def typos() -> str:
+def typos(cap: int | None = None) -> str:
     """CTEs fix (query_id, pos, word, term, distance, applied), qx (expanded query terms), said (query_id, did_you_mean); needs qp, idx.
 
     DuckDB's distance allows edits within a transposed pair; it agrees with the engine's up to 1, and at 2 on these queries.
+    `cap` limits the candidates of a first character.
     """
+    capped = f" QUALIFY place <= {cap}" if cap else ""
     return """tdf AS (SELECT term, count(DISTINCT doc_id) AS df FROM idx GROUP BY term),
     unk AS (
       SELECT query_id, pos, arg_max(term, (length(term), -ord)) AS word FROM qp LEFT JOIN tdf USING (term) GROUP BY ALL HAVING max(coalesce(df, 0)) = 0
     ), voc AS (
-      SELECT term, left(term, 1) AS first, row_number() OVER (PARTITION BY left(term, 1) ORDER BY df DESC, term) AS place FROM tdf WHERE df >= 2 QUALIFY place <= 4000
+      SELECT term, left(term, 1) AS first, row_number() OVER (PARTITION BY left(term, 1) ORDER BY df DESC, term) AS place FROM tdf WHERE df >= 2{capped}
     ), near AS (
       SELECT word, min((d, place, term)) AS best FROM (SELECT DISTINCT word, left(word, 1) AS first FROM unk WHERE length(word) >= 3) JOIN voc USING (first), LATERAL (SELECT damerau_levenshtein(word, term) AS d) WHERE d <= 2 GROUP BY word
     ), fix0 AS (
@@ -151,4 +153,4 @@ def typos() -> str:
       SELECT query_id, CASE WHEN new <> lower(q) THEN new END AS did_you_mean FROM (
         SELECT query_id, q, CASE WHEN p IS NULL THEN lower(q) ELSE list_reduce(list_transform(p, lambda x: x.word || chr(1) || x.term), lambda s, x: replace(s, split_part(x, chr(1), 1), split_part(x, chr(1), 2)), lower(q)) END AS new
         FROM qs LEFT JOIN (SELECT query_id, list(struct_pack(word := word, term := term) ORDER BY pos) AS p FROM fix GROUP BY ALL) USING (query_id))
-    )"""
+    )""".replace("{capped}", capped)

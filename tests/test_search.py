@@ -119,6 +119,23 @@ def test_typos(spark):
     assert not SearchEngine(engine.index, EngineConfig(typo=False)).did_you_mean(asked).where("did_you_mean is not null").count()
 
 
+def test_corrections_in_a_large_index(spark):
+    rows = spark.range(100_001).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3, "red widget").otherwise("ring").alias("title"))
+    engine = SearchEngine(kept(ix.build(rows.select("doc_id", catalog.fields(title=F.col("title")).alias("fields")))))
+    asked = spark.createDataFrame([(0, "red wigdet")], "query_id long, q string")
+    assert engine.did_you_mean(asked).first().did_you_mean == "red widget" and sorted(found(engine, spark, "red wigdet")[0]) == [0, 1, 2]
+    assert SearchEngine(engine.index, EngineConfig(typo_max_docs=100_000)).did_you_mean(asked).first().did_you_mean is None
+
+
+def test_all_terms_are_candidates(spark):
+    letters = "abcdefghijklmnop"
+    words = [f"w{a}{b}{c}{d}" for a in letters for b in letters for c in letters for d in letters[:1]] + ["wzzring"]
+    words += [f"w{a}{b}{c}x" for a in letters[:2] for b in letters for c in letters]  # 4,609 terms, the one asked for the last of them
+    engine = SearchEngine(kept(ix.build(documents(spark, [(1, " ".join(words), None, None), (2, " ".join(words), None, None)]))))
+    assert len(words) > 4_000
+    assert engine.did_you_mean(spark.createDataFrame([(0, "wzzrnig")], "query_id long, q string")).first().did_you_mean == "wzzring"
+
+
 def test_distance(spark):
     def plain(a, b):
         d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
