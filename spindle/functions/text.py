@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns, letters and word lists that results depend on.
-TOKEN = r"[\p{L}\p{N}\p{M}][\p{L}\p{N}\p{M}_.\-\/]*"
-TAIL = r"[_.\-/]+$"
+# Letters, digits and marks with separators between, none at the end; possessive, so that no text makes it go back or deep.
+TOKEN = r"[\p{L}\p{N}\p{M}]++(?:[_.\-\/]++[\p{L}\p{N}\p{M}]++)*+"
 CJK = r"[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7A3}]"
 UNIT = r"^[0-9]+[a-zA-Z]{1,3}$"
 VIETNAMESE = {"a": "áàảãạăắằẳẵặâấầẩẫậ", "e": "éèẻẽẹêếềểễệ", "i": "íìỉĩị", "o": "óòỏõọôốồổỗộơớờởỡợ", "u": "úùủũụưứừửữự", "y": "ýỳỷỹỵ", "d": "đ"}
@@ -33,28 +33,32 @@ VI_FROM, VI_TO = _table(VIETNAMESE)
 LATIN_FROM, LATIN_TO = (VI_FROM + _table(LATIN)[0], VI_TO + _table(LATIN)[1])
 
 
+def is_ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
 def fold_vietnamese(text: Column) -> Column:
-    return F.translate(F.lower(text), VI_FROM + MARKS, VI_TO)
+    lower = F.lower(text)
+    return F.when(is_ascii(text), lower).otherwise(F.translate(lower, VI_FROM + MARKS, VI_TO))
 
 
 def fold_latin(text: Column) -> Column:
-    text = F.lower(text)
+    lower = folded = F.lower(text)
     for letter, pair in LATIN_PAIRS.items():
-        text = F.replace(text, F.lit(letter), F.lit(pair))
-    return F.translate(text, LATIN_FROM + MARKS, LATIN_TO)
+        folded = F.replace(folded, F.lit(letter), F.lit(pair))
+    return F.when(is_ascii(text), lower).otherwise(F.translate(folded, LATIN_FROM + MARKS, LATIN_TO))
 
 
 def surfaces(text: Column) -> Column:
     """The tokens of a text in order, inner separators kept; none for null."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    return F.transform(found, lambda t: F.regexp_replace(t, TAIL, ""))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
 def classify(surface: Column) -> Column:
-    """The class of a token: any CJK, then letters with digits, digits, accented, Latin, other."""
+    """The class of a token: any CJK, then letters with digits, digits, accented, Latin, other. Plain words, the most, are told by one look."""
     digit, ascii_, marked = surface.rlike("[0-9]"), surface.rlike("[A-Za-z]"), surface.rlike(r"[^\x00-\x7F]")
     return (
-        F.when(surface.rlike(CJK), "CJK")
+        F.when(surface.rlike("^[A-Za-z]+$"), "WORD_LATIN").when(surface.rlike(CJK), "CJK")
         .when(digit & (ascii_ | marked), F.when(surface.rlike(UNIT), "NUMERIC_UNIT").otherwise("ALNUM_CODE"))
         .when(digit, "NUMERIC_UNIT").when(marked, "WORD_DIACRITIC").when(ascii_, "WORD_LATIN").otherwise("OTHER")
     )

@@ -103,7 +103,7 @@ def zone_lengths_part(spark, sf_dir):
 
 
 def corpus_stats(spark, sf_dir):
-    return SearchEngine(ix.build(catalog.corpus(spark, sf_dir)).checkpointed()).stats().select("zone", F.round("avg_len", 6).alias("avg_len"), "doc_count")
+    return SearchEngine(ix.build(catalog.corpus(spark, sf_dir))).stats().select("zone", F.round("avg_len", 6).alias("avg_len"), "doc_count")
 
 
 def term_df(spark, sf_dir):
@@ -117,8 +117,9 @@ def vocabulary_prefix(spark, sf_dir):
 
 def _query(queries, every_word=True, corpus=False, limit=20):
     def run(spark, sf_dir):
-        index = ix.build(catalog.corpus(spark, sf_dir)).checkpointed() if corpus else _parts(spark, sf_dir)
-        return scoring.cut(scoring.score(index, scoring.query_terms(_asked(spark, queries)), every_word=every_word), limit)
+        terms = scoring.query_terms(_asked(spark, queries))
+        index = ix.build(catalog.corpus(spark, sf_dir)).for_batch(terms) if corpus else _parts(spark, sf_dir)
+        return scoring.cut(scoring.score(index, terms, every_word=every_word), limit)
 
     return run
 
