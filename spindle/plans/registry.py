@@ -79,8 +79,9 @@ def code_variants_part(spark, sf_dir):
 
 
 def phrase_bigrams(spark, sf_dir):
-    rows = analysis.exploded(analysis.analyze(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text"), "postings").where("p.field = 'phrase'")
-    return rows.groupBy(F.col("p.term").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    rows = _table(spark, sf_dir, "documents").select(T.surfaces(F.col("text")).alias("words"))
+    found = analysis.exploded(rows.select(analysis.pairs(F.col("words"), analysis.AnalyzerConfig()).alias("pairs")), "pairs")
+    return found.groupBy(analysis.pair_term(F.col("p")).alias("term")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def analyze_queries(spark, sf_dir):
