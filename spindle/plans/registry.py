@@ -262,8 +262,10 @@ def bm25f_weights(spark, sf_dir):
 def packs_without_stopwords(spark, sf_dir):
     """Terms of the documents where only the code and generic packs are in use: no word is a stopword."""
     config = analysis.AnalyzerConfig((analysis.code_pack(), analysis.generic_pack()), bigrams=False)
-    rows = analysis.exploded(analysis.analyze(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "query", config), "postings").where("p.field = 'text'")
-    return rows.groupBy(F.col("p.term").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    rows = analysis.exploded(_table(spark, sf_dir, "documents").select(T.surfaces(F.col("text")).alias("words")), "words")
+    counted = rows.groupBy(F.col("p").alias("word")).agg(F.count(F.lit(1)).alias("n"))  # a word's terms are the same wherever it stands
+    made = counted.withColumn("t", analysis.word_token(F.col("word"))).withColumn("made", analysis.variants(F.col("t"), "query", config))
+    return analysis.exploded(made, "made", "n").where("p.field = 'text'").groupBy(F.col("p.term").alias("term")).agg(F.sum("n").alias("n"))
 
 
 def pack_with_stopwords(spark, sf_dir):
