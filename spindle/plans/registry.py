@@ -68,8 +68,10 @@ def fold_terms(spark, sf_dir):
 
 
 def stopword_share(spark, sf_dir):
-    rows = _tokens(_table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(F.col("is_stopword").cast("long")).alias("n_stopwords"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", T.surfaces(F.col("text")).alias("words"))
+    listed = F.filter("words", lambda w: analysis.listed(w, analysis.AnalyzerConfig()))
+    counts = rows.select("doc_id", F.size("words").cast("long").alias("n"), F.size(listed).cast("long").alias("k")).where(F.col("n") > 0)
+    return counts.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("k").alias("n_stopwords"))
 
 
 def code_variants_part(spark, sf_dir):
