@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..operators import analysis, maintenance, rerank, scoring, typo
 from ..operators import index as ix
 from ..operators.config import EngineConfig, Settings
-from ..operators.tables import shared_folder
+from ..operators.tables import dealt, shared_folder
 from ..sources import catalog
 from ..sources.store import Store
 from ..streaming import sync
@@ -76,8 +76,11 @@ def stopword_share(spark, sf_dir):
 
 def code_variants_part(spark, sf_dir):
     part = _table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.concat(F.lit("HS"), F.col("p_partkey"), F.lit("-kx")), "p_brand", F.concat("p_size", F.lit("mm"))).alias("code"))
-    rows = analysis.exploded(analysis.analyze(part, "code"), "postings", "p_partkey").where("p.field = 'code'")
-    return rows.select("p_partkey", F.col("p.pos").cast("long").alias("pos"), "p.term", "p.kind")
+    # Few bytes make many rows: dealt first, or one task would make those of a whole row group.
+    words = dealt(part, "p_partkey").select("p_partkey", F.posexplode_outer(T.surfaces(F.col("code"))).alias("pos", "word")).where("word IS NOT NULL")
+    made = F.filter(analysis.variants(F.col("t"), "index", analysis.AnalyzerConfig()), lambda v: v["field"] == "code")
+    rows = analysis.exploded(words.withColumn("t", analysis.word_token(F.col("word"))).withColumn("made", made), "made", "p_partkey", "pos")
+    return rows.select("p_partkey", F.col("pos").cast("long").alias("pos"), "p.term", "p.kind")
 
 
 def phrase_bigrams(spark, sf_dir):
