@@ -333,9 +333,9 @@ def stream_sync_final(spark, sf_dir):
     where = _folder(spark)
     docs = catalog.parts(spark, sf_dir)
     store = Store(spark, f"{where}/index")
-    store.publish(ix.build(docs.withColumn("fields", F.slice("fields", 1, 1))))
+    store.publish(ix.build(docs.withColumn("fields", F.slice("fields", 1, 1))).checkpointed())
     events = _table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("doc_id"))
-    events.write.parquet(f"{where}/changes")
+    events.repartition(4, "doc_id").write.parquet(f"{where}/changes")  # each batch writes the index anew: as many however many events there are
     feed = spark.readStream.schema("doc_id long").option("maxFilesPerTrigger", 1).parquet(f"{where}/changes")
     sync.start(feed, store, lambda: docs.where("doc_id % 10 <> 0"), f"{where}/progress", lambda: AS_OF).awaitTermination()
     return store.load().postings.select("doc_id", "term", "zone", "kw", "tf")

@@ -27,7 +27,7 @@ def captured(events: DataFrame, types: tuple[str, ...]) -> DataFrame:
 def applied(index: Index, changed: DataFrame, source: DataFrame, config: EngineConfig | None = None, analyzer: AnalyzerConfig | None = None) -> Index:
     """The index after a batch of changed ids: those that the source (doc_id, fields) has are indexed anew, others removed."""
     ids = changed.select("doc_id").where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return index.without(ids).union(build(source.join(ids, "doc_id", "left_semi"), config, analyzer))
+    return index.without(ids).union(build(source.join(ids, "doc_id", "left_semi"), config, analyzer).checkpointed())  # read for its ranges, then to be written
 
 
 def pending(queue: DataFrame) -> int:
